@@ -15,11 +15,12 @@ from meshline.llm.lookalike import one_form
 from meshline.session import cut
 
 RUN = 12
-STRIDE = 4
-RANK = 48
+RANK = 96
 EXTRA = 16
-COSINE = 0.55
+EXACT_COSINE = 0.95
+COSINE = 0.8
 LCS_SHARE = 0.75
+PASSAGE_BLOCK = 512
 ITEM_BLOCK = 20_000
 EVAL_BYTES = 256 << 20
 SEED = 7
@@ -82,7 +83,7 @@ def _windows(ids: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(encoded: DataFrame, fold, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of ``fold(ids of one document) -> matrix`` over all documents, by blocks of rows.
+    """Sum of a matrix over all documents, by blocks of rows; ``fold(documents, total)`` adds a batch to ``total``.
 
     A task sends one partial per block, blocks are summed on the executors, and
     the driver receives one matrix of the evaluation vocabulary's height.
@@ -92,8 +93,8 @@ def _summed(encoded: DataFrame, fold, shape: tuple[int, int]) -> np.ndarray:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shape)
         for b in batches:
-            for ids in b["ids"]:
-                fold(np.asarray(ids, np.int32), total)
+            for lo in range(0, len(b), 200):
+                fold([np.asarray(x, np.int32) for x in b["ids"].iloc[lo : lo + 200]], total)
         yield pd.DataFrame({"block": range(0, shape[0], rows), "m": [total[i : i + rows].tobytes() for i in range(0, shape[0], rows)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +102,7 @@ def _summed(encoded: DataFrame, fold, shape: tuple[int, int]) -> np.ndarray:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "m": [total.tobytes()]})
 
     fan = 32
-    level = encoded.mapInPandas(part, "block int, m binary").withColumn("g", F.pmod(F.monotonically_increasing_id().bitwiseAND(0) + F.spark_partition_id(), F.lit(fan)))
+    level = encoded.mapInPandas(part, "block int, m binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(fan)))
     level = level.groupBy("block", "g").applyInPandas(lambda pdf: add(pdf), "block int, m binary")
     level = level.groupBy("block").applyInPandas(lambda pdf: add(pdf), "block int, m binary")
     out = np.zeros(shape)
@@ -113,7 +114,7 @@ def _summed(encoded: DataFrame, fold, shape: tuple[int, int]) -> np.ndarray:
 
 def _weighted(win: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Rows ``tf-idf(window) @ basis``; ``idf`` and ``basis`` end in a zero row that the id -1 picks."""
-    return np.einsum("nw,nwk->nk", idf[win], basis[win], optimize=False)
+    return np.matmul(idf[win][:, None, :], basis[win])[:, 0, :]
 
 
 def _padded(a: np.ndarray) -> np.ndarray:
@@ -128,9 +129,10 @@ def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> tuple[np.nd
     pass for ``A'A Q``, and the small eigenproblem ``Q'A'AQ``.
     """
 
-    def df(ids: np.ndarray, total: np.ndarray) -> None:
-        u = np.unique(ids)
-        total[u[u >= 0], 0] += 1
+    def df(batch: list[np.ndarray], total: np.ndarray) -> None:
+        for ids in batch:
+            u = np.unique(ids)
+            total[u[u >= 0], 0] += 1
 
     n_docs = encoded.count()
     freq = _summed(encoded, df, (size, 1))[:, 0]
@@ -141,15 +143,20 @@ def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> tuple[np.nd
     def gram(basis: np.ndarray):
         pad = _padded(basis)
 
-        def fold(ids: np.ndarray, total: np.ndarray) -> None:
-            _, win = _windows(ids, RUN)
+        def fold(batch: list[np.ndarray], total: np.ndarray) -> None:
+            win = np.concatenate([_windows(ids, RUN)[1] for ids in batch])
             win = win[(win >= 0).any(axis=1)]
-            if len(win):
-                y = _weighted(win, pad_idf, pad)
-                at = win.ravel()
-                rows = np.repeat(y, RUN, axis=0) * pad_idf[at][:, None]
-                ok = at >= 0
-                np.add.at(total, at[ok], rows[ok])
+            for lo in range(0, len(win), 2_000):
+                part = win[lo : lo + 2_000]
+                y = _weighted(part, pad_idf, pad)
+                at = part.ravel()
+                row = np.repeat(np.arange(len(part)), RUN)
+                order = np.argsort(at, kind="stable")
+                at, row = at[order], row[order]
+                at, row = at[at >= 0], row[at >= 0]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+                if len(first):
+                    total[at[first]] += np.add.reduceat(y[row] * pad_idf[at][:, None], first, axis=0)
 
         return fold
 
@@ -164,135 +171,121 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def _lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; ids below 0 match nothing."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        step = np.where((b == x) & (x >= 0), row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
-    return int(row[-1])
-
-
-def _longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest run of words common to both; ids below 0 match nothing."""
-    same = (a[:, None] == b[None, :]) & (a[:, None] >= 0)
-    best, row = 0, np.zeros(len(b) + 1, np.int32)
-    for line in same:
-        row[1:] = np.where(line, row[:-1] + 1, 0)
-        best = max(best, int(row.max()))
-    return best
-
-
-def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, longest_run, lcs_share, has_answer): documents with passages close to an item.
-
-    Each document is read as overlapping passages of RUN words, each item as all
-    its windows of RUN words; both are placed in the latent space, and passages
-    whose cosine to an item's window reaches ``cosine`` are candidates. Items
-    go through in blocks, so the matrix in a task stays of one size. The
-    neighbourhood of a candidate passage is then held against the whole item:
-    the longest run of equal words (any run of RUN words of the document lies
-    wholly in the neighbourhood of a passage that shares at least RUN - STRIDE/2
-    of them), the share of the window that is a common subsequence, and whether
-    the answer's words follow. A passage with fewer than half its words in the
-    evaluation vocabulary cannot reach any of the checks and is not projected.
-
-    Documents that are null or too short for a passage give no row, nor do items
-    of fewer than RUN words; repeated rows of an item count once.
-    """
-    spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, longest_run int, lcs_share double, has_answer boolean"
-    read = read_items(items)
-    if not read.vocab:
-        return spark.createDataFrame([], schema)
-    encoded = cut(encode_documents(docs, read.vocab))
+def _lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the rows of ``a`` and ``b``; ids below 0 match nothing."""
+    row = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    for i in range(a.shape[1]):
+        same = (b == a[:, i : i + 1]) & (a[:, i : i + 1] >= 0)
+        step = np.where(same, row[:, :-1] + 1, 0)
+        row[:, 1:] = np.maximum.accumulate(np.maximum(step, row[:, 1:]), axis=1)
+    return row[:, -1]
+
+
+def _retrieve(encoded: DataFrame, read: Items, cosine: float, rank: int, fuzzy: bool) -> DataFrame:
+    """Rows of one candidate search; see ``exact_leaks`` and ``paraphrases``."""
+    spark = encoded.sparkSession
     idf, basis = latent_space(encoded, len(read.vocab), rank)
     pad_idf, pad_basis = _padded(idf), _padded(basis)
-    owner, found = [], []
-    for k, ids in enumerate(read.texts):
-        _, win = _windows(ids, 1)
-        owner.append(np.full(len(win), k))
-        found.append(win)
-    owner_all, windows = np.concatenate(owner), np.concatenate(found)
-    if not len(windows):
-        return spark.createDataFrame([], schema)
-    latent = _unit(_weighted(windows, pad_idf, pad_basis))
-    shared = spark.sparkContext.broadcast((pad_idf, pad_basis, latent, owner_all, windows, read))
-
-    def near(vectors: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        _, _, latent, owner, *_ = shared.value
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+    found = [_windows(ids, 1)[1] for ids in read.texts]
+    owner = np.concatenate([np.full(len(w), k) for k, w in enumerate(found)])
+    windows = np.concatenate(found)
+    shared = spark.sparkContext.broadcast((pad_idf, pad_basis, _unit(_weighted(windows, pad_idf, pad_basis)), owner, windows, read))
+
+    def search(doc: list, src: np.ndarray, win: np.ndarray, tails: list[np.ndarray]) -> pd.DataFrame:
+        pad_idf, pad_basis, latent, owner, windows, read = shared.value
+        vectors = _unit(_weighted(win, pad_idf, pad_basis))
+        parts = []
         for lo in range(0, len(latent), ITEM_BLOCK):
             sims = vectors @ latent[lo : lo + ITEM_BLOCK].T
             p, c = np.nonzero(sims >= cosine)
-            if len(p):
-                s = sims[p, c]
-                order = np.lexsort((-s, owner[lo + c], p))
-                p, c, s = p[order], c[order], s[order]
-                first = np.append(True, (p[1:] != p[:-1]) | (owner[lo + c[1:]] != owner[lo + c[:-1]]))
-                for a, b, v in zip(p[first].tolist(), (lo + c[first]).tolist(), s[first].tolist(), strict=True):
-                    key = (a, int(owner[b]))
-                    if key not in best or best[key][0] < v:
-                        best[key] = (v, b)
-        for (a, k), (_, b) in best.items():
-            yield a, k, b
+            if not fuzzy:
+                same = (win[p] == windows[lo + c]).all(axis=1)
+                p, c = p[same], c[same]
+                parts.append(pd.DataFrame({"s": src[p], "k": owner[lo + c], "lcs": 1.0, "p": p}))
+                continue
+            if not len(p):
+                continue
+            best = pd.DataFrame({"p": p, "k": owner[lo + c], "c": lo + c, "sim": sims[p, c]})
+            best = best.loc[best.groupby(["p", "k"])["sim"].idxmax()]
+            lcs = _lcs(win[best["p"]], windows[best["c"]]) / RUN
+            ok = lcs >= LCS_SHARE
+            parts.append(pd.DataFrame({"s": src[best["p"][ok]], "k": best["k"][ok], "lcs": lcs[ok], "p": best["p"][ok]}))
+        got = pd.concat(parts) if parts else pd.DataFrame({"s": [], "k": [], "lcs": [], "p": []})
+        got = got.sort_values(["s", "k", "lcs"], ascending=[True, True, False]).drop_duplicates(["s", "k"])
+        answered = []
+        for p, k in zip(got["p"].astype(int), got["k"].astype(int), strict=True) if fuzzy else ():
+            want = np.array([read.answers[k]], np.int32)
+            answered.append(bool(want.size and min(want[0]) >= 0 and _lcs(tails[p][None, :], want)[0] == want.size))
+        return pd.DataFrame({"doc_id": [doc[i] for i in got["s"].astype(int)], "item_id": [read.ids[k] for k in got["k"].astype(int)], "lcs_share": got["lcs"].astype(float), "has_answer": answered if fuzzy else True})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pad_idf, pad_basis, _, _, windows, read = shared.value
+        least = int(np.ceil(LCS_SHARE * RUN)) if fuzzy else RUN
         for b in batches:
-            # passages of several documents go through the product together, in blocks of bounded size
-            out, held, n = [], [], 0
-
-            def flush() -> None:
-                nonlocal held, n
-                if not held:
-                    return
-                vec = _unit(_weighted(np.concatenate([h[3] for h in held]), pad_idf, pad_basis))
-                src = np.concatenate([np.full(len(h[2]), i) for i, h in enumerate(held)])
-                starts = np.concatenate([h[2] for h in held])
-                seen: dict[tuple[int, int], list] = {}
-                for p, k, w in near(vec):
-                    doc, ids = held[src[p]][0], held[src[p]][1]
-                    at, text = int(starts[p]), read.texts[k]
-                    around = ids[max(0, at - RUN) : at + 2 * RUN]
-                    lcs = _lcs(ids[at : at + RUN], windows[w]) / RUN
-                    got = seen.setdefault((src[p], k), [doc, read.ids[k], 0, 0.0, False])
-                    # a run of RUN words takes that many equal words in the neighbourhood
-                    if got[2] < RUN and np.isin(around, text).sum() >= RUN:
-                        got[2] = max(got[2], _longest_run(around, text))
-                    got[3] = max(got[3], lcs)
-                    if lcs >= LCS_SHARE and not got[4] and read.answers[k]:
-                        tail = ids[at : at + 8 * RUN]
-                        got[4] = _lcs(tail, np.array(read.answers[k], np.int32)) == len(read.answers[k])
-                out.extend(seen.values())
-                held, n = [], 0
-
+            docs, src, wins, tails, n = [], [], [], [], 0
             for doc, ids in zip(b["doc_id"], b["ids"], strict=True):
                 ids = np.asarray(ids, np.int32)
-                starts, win = _windows(ids, STRIDE)
-                keep = (win >= 0).sum(axis=1) >= RUN // 2
+                starts, win = _windows(ids, 1)
+                keep = (win >= 0).sum(axis=1) >= least
                 starts, win = starts[keep], win[keep]
-                for lo in range(0, len(win), 512):
-                    held.append((doc, ids, starts[lo : lo + 512], win[lo : lo + 512]))
-                    n += len(held[-1][2])
-                    if n >= 512:
-                        flush()
-            flush()
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "lcs_share", "has_answer"])
+                for lo in range(0, len(win), PASSAGE_BLOCK):
+                    part = win[lo : lo + PASSAGE_BLOCK]
+                    src.append(np.full(len(part), len(docs)))
+                    docs.append(doc)
+                    wins.append(part)
+                    if fuzzy:
+                        tails += [ids[at : at + 8 * RUN] for at in starts[lo : lo + PASSAGE_BLOCK]]
+                    n += len(part)
+                    if n >= PASSAGE_BLOCK:
+                        yield search(docs, np.concatenate(src), np.concatenate(wins), tails)
+                        docs, src, wins, tails, n = [], [], [], [], 0
+            if n:
+                yield search(docs, np.concatenate(src), np.concatenate(wins), tails)
+
+    hits = encoded.mapInPandas(run, "doc_id bigint, item_id bigint, lcs_share double, has_answer boolean")
+    return hits.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max("has_answer").alias("has_answer"))
+
+
+def _prepared(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, Items]:
+    read = read_items(items)
+    keep = [k for k, t in enumerate(read.texts) if len(t) >= RUN]
+    read = Items(read.vocab, [read.ids[k] for k in keep], [read.texts[k] for k in keep], [read.answers[k] for k in keep])
+    return (cut(encode_documents(docs, read.vocab)) if keep else docs), read
+
 
-    hits = encoded.mapInPandas(run, schema)
-    return hits.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("lcs_share").alias("lcs_share"), F.max("has_answer").alias("has_answer"))
+def exact_leaks(docs: DataFrame, items: DataFrame, cosine: float = EXACT_COSINE, rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id): documents that hold RUN words of the item's text in a row.
 
+    Every window of RUN words of a document and of an item is a passage in the
+    latent space. Passages whose cosine to an item's window reaches ``cosine``
+    are candidates, and a candidate counts if its words equal the window's. A
+    leaked run has itself as a passage, so its cosine is 1 in any space and no
+    leak is lost at a threshold below 1. A passage with a word outside the
+    evaluation vocabulary cannot pass and is not projected. Items go through in
+    blocks of ITEM_BLOCK windows, so a task's product has a fixed size.
 
-def exact_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): candidates that hold RUN words of the item's text in a row."""
-    return leaks(docs, items).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+    Null documents, documents and items of fewer than RUN words and empty tables
+    give no row; repeated rows count once.
+    """
+    encoded, read = _prepared(docs, items)
+    if not read.ids:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    return _retrieve(encoded, read, cosine, rank, False).select("doc_id", "item_id")
 
 
-def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, lcs_share, has_answer): candidates without such a run whose words follow the item's order."""
-    return leaks(docs, items).where((F.col("longest_run") < RUN) & (F.col("lcs_share") >= LCS_SHARE)).select("doc_id", "item_id", "lcs_share", "has_answer")
+def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id, lcs_share, has_answer): documents with a passage that follows an item's words in order.
+
+    Candidates by cosine as in ``exact_leaks``, at a lower threshold; for the
+    closest window of each item the share of it that is a common subsequence
+    with the passage must reach LCS_SHARE. ``has_answer`` tells whether the words
+    of the item's answer follow, in order, within eight passages' length.
+    Passages with fewer vocabulary words than LCS_SHARE asks for are not
+    projected. Exact leaks are among the rows, with a share of 1.
+    """
+    encoded, read = _prepared(docs, items)
+    if not read.ids:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, lcs_share double, has_answer boolean")
+    return _retrieve(encoded, read, cosine, rank, True)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
