@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshline.llm import leakage, lookalike, tokenizer
+from meshline.llm import leakage, lookalike, syntax, tokenizer
 from meshline.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken(table(spark, d, "files"), table(spark, d, "diagnostics"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "files"), table(spark, d, "diagnostics"))
+
+
+def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(table(spark, d, "files"), table(spark, d, "diagnostics"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_table(table(spark, d, "documents"))
 
@@ -36,5 +48,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_token_counts, p7_found, p7_paraphrases, p7_report, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p5_repairs, p6_ids, p6_token_counts, p7_found, p7_paraphrases, p7_report, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}
