@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from meshline.operators import queries as problems
+from importlib import import_module
+
+MODULES = ("meshline.operators.queries", "meshline.plans.metrics")
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return {k: v for m in MODULES for k, v in import_module(m).QUERIES.items()}
 
 
 def oracles() -> dict:
-    return dict(problems.ORACLES)
+    return {k: v for m in MODULES for k, v in import_module(m).ORACLES.items()}
