@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("meshline.operators.queries", "meshline.plans.metrics", "meshline.plans.navigation")
+MODULES = ("meshline.operators.queries", "meshline.plans.metrics", "meshline.plans.navigation", "meshline.plans.analysis")
 
 
 def queries() -> dict:

@@ -229,7 +229,7 @@ ORACLES = {
     "d10_foreign": WITH + " SELECT e.id, e.file, s.file AS owner FROM ge e JOIN gn s ON s.id = e.source JOIN gn t ON t.id = e.target WHERE e.file <> s.file",
     "f1_filter": WITH + ", x AS (SELECT id FROM gn WHERE kind IN ('class', 'function') AND repo IN ('atlas-core', 'brine-core')) SELECT id FROM ge WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x)",
     "f2_relations": WITH + f" SELECT relation, count(*) AS n_edges FROM ge WHERE relation IN ({_IMPACT}) GROUP BY 1",
-    "f3_contexts": WITH + f" SELECT context, count(*) AS n_edges FROM (SELECT {_ALIAS} AS context FROM ge) GROUP BY 1",
+    "f3_contexts": WITH + f" SELECT context, count(*) AS n_edges FROM (SELECT {_ALIAS} AS context FROM (SELECT coalesce(json_extract_string(metadata, '$.context'), relation) AS relation FROM ge)) GROUP BY 1",
     "f6_direction": WITH + " SELECT id, 'incoming' AS direction, count(*) AS n FROM (SELECT target AS id FROM ge UNION ALL SELECT source FROM ge WHERE NOT directed) GROUP BY 1 UNION ALL SELECT id, 'outgoing', count(*) FROM (SELECT source AS id FROM ge UNION ALL SELECT target FROM ge WHERE NOT directed) GROUP BY 1 UNION ALL SELECT id, 'both', count(*) FROM (SELECT source AS id FROM ge UNION ALL SELECT target FROM ge) GROUP BY 1",
     "g1_adjacency": WITH + _BOTH + " SELECT id, stream, edge_id, other FROM adj",
     "g1_incoming": WITH + _IN + " SELECT id, stream, edge_id, other FROM adj WHERE relation IN ('calls', 'uses')",
