@@ -90,7 +90,8 @@ def _local_move(adj: dict, total: float, comm: dict, order: list, gamma: float,
     tot = defaultdict(float)
     for i, c in comm.items():
         tot[c] += k[i]
-    free = [c for c in range(len(adj)) if c not in set(comm.values())]
+    taken = set(comm.values())
+    free = [c for c in range(len(adj)) if c not in taken]
     moved_any = False
     for _ in range(sweeps):
         moved = False
@@ -160,7 +161,8 @@ def kernel(adj: dict, total: float, gamma: float = 1.0, passes: int = 100, algor
         comm = {i: k for k, i in enumerate(sorted(level))}
         moved = _local_move(level, total, comm, sorted(level), gamma, passes)
         if algorithm == "leiden" and moved:
-            fine = {i: k for k, i in enumerate(sorted(level))}
+            c_root = sorted(level)
+            fine = {i: k for k, i in enumerate(c_root)}
             strength = {i: sum(level[i].values()) for i in level}
             inside = defaultdict(float)
             for i in level:
@@ -183,7 +185,7 @@ def kernel(adj: dict, total: float, gamma: float = 1.0, passes: int = 100, algor
                     inside[fine[i]] -= strength[i]
                     fine[i] = c
                     inside[c] += strength[i]
-                    alone -= {i} | {j for j in level if fine[j] == c} if len(level) < 2_000 else {i}
+                    alone -= {i, c_root[c]}
             group = _split(level, fine)
         else:
             group = _split(level, comm)
@@ -232,7 +234,7 @@ def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, pas
     return linked.unionByName(g.ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("community")))
 
 
-def parallel_louvain(sym: DataFrame, total: float, resolution: float = 1.0, rounds: int = 12, levels: int = 4) -> DataFrame:
+def parallel_louvain(sym: DataFrame, total: float, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
     """(id, community) by synchronous moves: a hashed half of the nodes moves in each round, then communities are coarsened.
 
     Gains need the weights from each node to each neighbouring community and the

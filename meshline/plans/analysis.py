@@ -49,11 +49,6 @@ def a7_leiden(spark: SparkSession, d: str) -> DataFrame:
     return c.partition(current_graph(spark, d), "leiden")
 
 
-def a6_parallel(spark: SparkSession, d: str) -> DataFrame:
-    sym = c.cut(m.symmetric(current_graph(spark, d)).where("weight > 0"))
-    return c.parallel_louvain(sym, sym.agg(F.sum("weight")).first()[0] or 1.0)
-
-
 def a8_connected_split(spark: SparkSession, d: str) -> DataFrame:
     g = current_graph(spark, d)
     return c.connected_split(m.symmetric(g), _part(g))
@@ -128,7 +123,7 @@ def a26_questions(spark: SparkSession, d: str) -> DataFrame:
     return ins.questions(g, c.cut(_edges(g, deg)), _part(g), deg, c.cohesion(m.symmetric(g), _part(g)))
 
 
-QUERIES = {f.__name__: f for f in (t2_postings, t5_scores, t5_seeds, t7_exact, t9_endpoints, a6_louvain, a6_parallel, a7_leiden, a8_connected_split, a9_modularity, a10_cohesion, a11_hub_cut, a13_canonical, a13_labels, a31_signatures, a21_scores, a21_surprises, a22_bridges, a23_inferred_hubs, a24_weak, a25_low_cohesion, a26_questions)}
+QUERIES = {f.__name__: f for f in (t2_postings, t5_scores, t5_seeds, t7_exact, t9_endpoints, a6_louvain, a7_leiden, a8_connected_split, a9_modularity, a10_cohesion, a11_hub_cut, a13_canonical, a13_labels, a31_signatures, a21_scores, a21_surprises, a22_bridges, a23_inferred_hubs, a24_weak, a25_low_cohesion, a26_questions)}
 
 WITH = f"WITH {SQL}"
 _POST = r", txt AS (SELECT id, concat_ws(' ', id, coalesce(label, ''), coalesce(qualified_name, ''), coalesce(file, '')) AS x FROM gn), post AS MATERIALIZED (SELECT DISTINCT id, token FROM (SELECT id, unnest(regexp_split_to_array(lower(x || ' ' || regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS token FROM txt) WHERE token <> '')"
