@@ -142,7 +142,7 @@ def lex(text: str, lang: str) -> list[Token]:
             continue
         if kind == "line":
             if py:
-                fresh = True
+                fresh = depth == 0
                 if depth == 0 and out and out[-1].kind not in ("NEWLINE", "INDENT", "DEDENT"):
                     out.append(Token("NEWLINE", start))
             elif not go or out and out[-1].kind in _GO_LINE_END:
