@@ -31,7 +31,7 @@ KEYWORDS = {
     "rust": _words("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union macro_rules"),
     "json": _words("true false null"),
 }
-KEYWORDS["typescript"] = KEYWORDS["javascript"] | _words("interface type implements declare abstract namespace module readonly keyof infer is public private protected satisfies override")
+KEYWORDS["typescript"] = KEYWORDS["javascript"] | _words("interface type implements declare abstract namespace module readonly keyof infer is public private protected satisfies override asserts")
 
 _NUM = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*(?:\.(?![.\w]))?(?:[eE][+-]?\d+)?)"
 _NAME = r"[^\W\d][\w$]*"
@@ -59,8 +59,8 @@ _PATTERNS = {
         op=r"\.\.\.|<<=|>>=|&\^=|<-|:=|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^!:;,.=<>()\[\]{}~]",
     ),
     "rust": _compile(
-        CONFLICT=_CONFLICT, ws=r"\s+|\ufeff", comment=r"\A#![^\[\n][^\n]*|//[^\n]*", STR=r'(?:b|c|br|r|cr)?(?P<h>#*)"(?:[^"\\]|\\.)*"(?P=h)|b?\'(?:[^\'\\\n]|\\[^\n]{1,9}?)\'', LIFE=r"'[^\W\d]\w*", NUM=r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?)(?:[iuf]\d+|[iu]size)?", ID=r"(?:r#)?[^\W\d]\w*",
-        op=r"\.\.\.|\.\.=|<<=|\.\.|->|=>|::|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%&|^!?:;,.=<>()\[\]{}@#$~]",
+        CONFLICT=_CONFLICT, ws=r"\s+|\ufeff", comment=r"\A#![^\[\n][^\n]*|//[^\n]*", STR=r'[bc]?r(?P<h>#*)".*?"(?P=h)|[bc]?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n]{1,9}?)\'', LIFE=r"'[^\W\d]\w*", NUM=r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?)(?:[iuf]\d+|[iu]size)?", ID=r"(?:r#)?[^\W\d]\w*",
+        op=r"\.\.\.|\.\.=|\.\.|->|=>|::|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^!?:;,.=<>()\[\]{}@#$~]",
     ),
     "json": _compile(CONFLICT=_CONFLICT, ws=r"[ \t\r\n]+", STR=r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"', NUM=r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])", ID=_NAME, op=r"[\[\]{},:]"),
     "python": _compile(
