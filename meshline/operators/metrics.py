@@ -66,7 +66,7 @@ def pagerank(g: Graph, damping: float = 0.85, iterations: int = 200, tolerance:
     """((id, rank), rounds, converged): weighted PageRank with uniform redistribution of dangling rank.
 
     Arcs are shuffled once, cut, and joined with the ranks of each round; the
-    dangling mass and the residual of a round come from one small aggregate.
+    dangling mass of the next round and the residual come from one small aggregate.
     """
     if not 0 <= damping < 1 or tolerance <= 0 or iterations < 1:
         raise ValueError("damping must be in [0, 1), tolerance and iterations above 0")
@@ -78,12 +78,13 @@ def pagerank(g: Graph, damping: float = 0.85, iterations: int = 200, tolerance:
         return g.ids.select("id", F.lit(0.0).alias("rank")), 0, True
     dangling_flag = out.select(F.col("src").alias("id"), F.lit(False).alias("dangling"))
     ranks = cut(g.ids.join(dangling_flag, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.where("dangling").count() / n
     for k in range(1, iterations + 1):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
         base = (1 - damping + damping * lost) / n
         inflow = a.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         nxt = cut(ranks.join(inflow, "id", "left").select("id", "dangling", F.col("rank").alias("old"), (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank")))
-        residual = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        told = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("residual"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")).first()
+        residual, lost = told["residual"], told["lost"] or 0.0
         ranks = nxt.drop("old")
         if residual <= tolerance:
             return ranks.select("id", "rank"), k, True

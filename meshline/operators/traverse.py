@@ -233,22 +233,32 @@ def walk(g: Graph, seeds: DataFrame, depth: int, direction: str = "outgoing", re
 def shortest_paths(g: Graph, pairs: DataFrame, depth: int = 6, direction: str = "outgoing", relations: tuple[str, ...] = ()) -> DataFrame:
     """(source, target, length, path, edges): a shortest path for each (source, target), null where none is within ``depth``.
 
-    Levels keep, for each node a source reaches, the first parent in the order
-    of (parent's path, stream, edge id); the paths are carried along, so no walk
-    back is needed.
+    The search starts from the side with fewer distinct ends, backwards if that
+    is the targets. Levels keep, for each node a start reaches, the first parent
+    in the order of (parent's path, stream, edge id); the paths are carried
+    along, so no walk back is needed. Starts whose ends are all found leave the
+    frontier.
     """
+    pairs = pairs.where("source is not null and target is not null").distinct()
+    few = pairs.agg(F.count_distinct("source").alias("s"), F.count_distinct("target").alias("t")).first()
+    back = few["t"] < few["s"]
+    if back:
+        direction = {"outgoing": "incoming", "incoming": "outgoing"}.get(direction, direction)
+    seed, end = ("target", "source") if back else ("source", "target")
     adj = cut(adjacency(g, direction, relations).select("id", "stream", "edge_id", "other"))
-    start = pairs.select(F.col("source").alias("seed")).distinct()
-    reached = cut(start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("length"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("edges")))
+    wanted = cut(pairs.select(F.col(seed).alias("seed"), F.col(end).alias("id")))
+    reached = cut(wanted.select("seed").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("length"), F.array("seed").alias("path"), F.array().cast("array<string>").alias("edges")))
     front = reached
     for k in range(1, depth + 1):
-        grown = front.join(adj, "id").join(reached.select("seed", F.col("id").alias("other")), ["seed", "other"], "left_anti")
+        open_ = wanted.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").select("seed").distinct()
+        grown = front.join(open_, "seed", "left_semi").join(adj, "id").join(reached.select("seed", F.col("id").alias("other")), ["seed", "other"], "left_anti")
         best = grown.groupBy("seed", "other").agg(F.min(F.struct("path", "stream", "edge_id", "edges")).alias("b"))
         front = cut(best.select("seed", F.col("other").alias("id"), F.lit(k).alias("length"), F.concat("b.path", F.array("other")).alias("path"), F.concat("b.edges", F.array("b.edge_id")).alias("edges")))
         if not front.limit(1).count():
             break
         reached = reached.unionByName(front)
-    return pairs.join(reached.select(F.col("seed").alias("source"), F.col("id").alias("target"), "length", "path", "edges"), ["source", "target"], "left")
+    turn = F.reverse if back else (lambda c: c)
+    return pairs.join(reached.select(F.col("seed").alias(seed), F.col("id").alias(end), "length", turn(F.col("path")).alias("path"), turn(F.col("edges")).alias("edges")), ["source", "target"], "left")
 
 
 def impact_seeds(g: Graph, roots: DataFrame) -> DataFrame:
