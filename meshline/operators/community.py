@@ -15,6 +15,7 @@ from meshline.operators.graph import Graph
 from meshline.session import cut
 
 KERNEL_ARCS = 2_000_000
+MOST_HUBS = 20_000
 EPSILON = 1e-14
 
 
@@ -265,3 +266,70 @@ def parallel_louvain(sym: DataFrame, total: float, resolution: float = 1.0, roun
             break
         level = coarse
     return connected_split(sym, where)
+
+
+def exclude_hubs(g: Graph, sym: DataFrame, percentile: float, algorithm: str = "louvain") -> DataFrame:
+    """(id, community): communities found without the hubs, which then join the majority of their assigned neighbours.
+
+    Up to MOST_HUBS hubs are placed one after another in the order of their ids,
+    since each may be a neighbour of the next; more hubs than that are placed at
+    once, by their neighbours that are no hubs. Ties go to the smallest
+    community, a hub without assigned neighbours is its own.
+    """
+    deg = cut(m.degree(g))
+    above = hub_threshold(deg, percentile)
+    if above is None:
+        return g.ids.select("id", F.col("id").alias("community"))
+    hubs = cut(deg.where(F.col("degree") > above).select("id"))
+    rest = Graph(g.nodes.join(hubs, "id", "left_anti"), g.edges.join(hubs.withColumnRenamed("id", "source"), "source", "left_anti").join(hubs.withColumnRenamed("id", "target"), "target", "left_anti").select(*g.edges.columns))
+    part = cut(partition(rest, algorithm))
+    near = sym.where("weight > 0 and a <> b").join(hubs.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b").distinct()
+    votes = near.join(part.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
+    if hubs.count() > MOST_HUBS:
+        top = votes.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("neg"), "community")).alias("b"))
+        return part.unionByName(hubs.join(top, "id", "left").select("id", F.coalesce("b.community", "id").alias("community")))
+    among = near.join(hubs.withColumnRenamed("id", "b"), "b", "left_semi")
+    tally: dict[str, dict[str, int]] = {r["id"]: {} for r in hubs.collect()}
+    best = votes.groupBy("a").agg(F.max("n").alias("most"))
+    # a hub's own choice needs only communities within reach of its top count by the number of other hubs
+    for r in votes.join(best, "a").where(F.col("n") >= F.col("most") - F.lit(len(tally))).collect():
+        tally[r["a"]][r["community"]] = r["n"]
+    links: dict[str, list[str]] = defaultdict(list)
+    for r in among.collect():
+        links[r["a"]].append(r["b"])
+    placed: dict[str, str] = {}
+    for h in sorted(tally):
+        for o in links[h]:
+            if o in placed:
+                tally[h][placed[o]] = tally[h].get(placed[o], 0) + 1
+        placed[h] = min(tally[h], key=lambda c: (-tally[h][c], c)) if tally[h] else h
+    return part.unionByName(g.nodes.sparkSession.createDataFrame(sorted(placed.items()), "id string, community string"))
+
+
+def split_again(g: Graph, part: DataFrame, most_size: int | None = None, least_cohesion: float | None = None, resolution: float = 1.0) -> DataFrame:
+    """(id, community): communities above a size or below a cohesion are partitioned once more on their own.
+
+    The inner partition uses a resolution of at least 1 and is kept where it
+    has more than one part; others stay whole.
+    """
+    sym = cut(m.symmetric(g))
+    told = cohesion(sym, part)
+    bad = F.lit(False)
+    if most_size is not None:
+        bad = bad | (F.col("size") > most_size)
+    if least_cohesion is not None:
+        bad = bad | ((F.col("cohesion") < least_cohesion) & (F.col("size") > 1))
+    again = cut(told.where(bad).select("community"))
+    members = cut(part.join(again, "community", "left_semi"))
+    inside = g.edges.join(members.select(F.col("id").alias("source"), F.col("community").alias("cs")), "source").join(members.select(F.col("id").alias("target"), F.col("community").alias("ct")), "target").where("cs = ct").select(*g.edges.columns)
+    finer = partition(Graph(members.select("id"), inside), resolution=max(resolution, 1.0))
+    return part.join(again, "community", "left_anti").select("id", "community").unionByName(finer)
+
+
+def preserved(nodes: DataFrame) -> DataFrame:
+    """(project, community_type, community, size): memberships that came with the nodes; 7 and "7" are different ones."""
+    meta = F.try_parse_json("metadata")
+    value = F.try_variant_get(F.coalesce(F.try_variant_get(meta, "$.original_metadata", "variant"), meta), "$.community", "variant")
+    kind = F.when(F.schema_of_variant(value) == "STRING", "string").when(F.schema_of_variant(value).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
+    x = nodes.select(F.get_json_object("metadata", "$.project").alias("project"), kind.alias("community_type"), value.cast("string").alias("community")).where("community is not null and community_type is not null")
+    return x.groupBy("project", "community_type", "community").agg(F.count("*").alias("size"))

@@ -215,3 +215,49 @@ def test_order_of_rows_does_not_matter(spark):
     h = Graph(g.nodes.orderBy(F.desc("id")), g.edges.repartition(3).orderBy(F.desc("id")))
     for f in (metrics.degree, metrics.arcs, metrics.symmetric):
         assert sorted(map(tuple, f(g).collect())) == sorted(map(tuple, f(h).collect()))
+
+
+def test_engine_and_budget(spark):
+    from meshline.engine import GraphEngine, benchmark, first_fit
+
+    assert first_fit([10, 50, 5], 20) == ([0, 2], 17)
+    g = graph(spark, 4, [call(0, 1), call(1, 2), call(3, 1)], {0: "alpha", 1: "beta", 2: "gamma", 3: "delta"})
+    e = GraphEngine(g)
+    assert len(e.callers("beta").nodes) == 3 and len(e.callees("beta").nodes) == 2
+    assert e.path("alpha", "gamma") == ["n00", "n01", "n02"] and e.path("gamma", "alpha") is None
+    assert {r["id"] for r in e.impact("gamma").collect()} == {"n00", "n01", "n02", "n03"}
+    small = e.query("beta", traverse.Options(depth=1), token_budget=60)
+    assert small.seeds == ["n01"] and "token_budget" in small.reasons and small.estimated_tokens <= 60
+    with pytest.raises(LookupError):
+        e.resolve("nothing")
+    assert set(benchmark(lambda: None, 5)) == {"median", "p95"}
+
+
+def test_hubs_apart_and_split_again(spark):
+    g = cliques(spark)
+    part = community.exclude_hubs(g, community.cut(metrics.symmetric(g)), 90.0)
+    assert part.count() == 11 and part.select("id").distinct().count() == 11
+    whole = g.nodes.select("id", F.lit("all").alias("community"))
+    finer = community.split_again(g, whole, most_size=6)
+    assert sorted(r["count"] for r in finer.groupBy("community").count().collect()) == [1, 5, 5]
+    n = spark.createDataFrame([('{"community": 7}',), ('{"community": "7"}',), ('{"community": 7}',), ("{}",), (None,)], "metadata string")
+    assert {(r["community_type"], r["size"]) for r in community.preserved(n).collect()} == {("integer", 2), ("string", 1)}
+
+
+def test_notes_worktrees_and_compaction(spark, tmp_path):
+    from meshline.sources import records
+
+    d = tmp_path / "notes"
+    d.mkdir()
+    note = "---\nevent_id: e1\ncreated: 2025-01-01T00:00:00Z\noutcome: useful\nsource_nodes:\n- a\n- b\n---\nBecause.\n"
+    (d / "x.md").write_text(note)
+    (d / "copy.md").write_text(note)
+    rows = records.read_notes(spark, str(d)).collect()
+    assert [(r["event_id"], r["source_nodes"], r["answer"]) for r in rows] == [("e1", ["a", "b"], "Because.")]
+    (d / "other.md").write_text(note.replace("Because", "No"))
+    with pytest.raises(Exception, match="differing copies"):
+        records.read_notes(spark, str(d)).collect()
+    assert records.worktrees("worktree /a\0HEAD x\0branch refs/heads/m\0\0worktree /b\0detached\0") == [("/a", "m"), ("/b", None)]
+    spark.range(100).repartition(5).write.parquet(str(tmp_path / "t"))
+    told = records.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"))
+    assert told["files_before"] == 5 and told["files_after"] == 1 and spark.read.parquet(str(tmp_path / "u")).count() == 100
