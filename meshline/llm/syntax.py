@@ -20,6 +20,7 @@ from meshline.tables import current_rows
 CAP = 3
 WINDOW = 48
 MEMO = 400_000
+FILES_PER_TASK = 20_000
 # Extensions of the languages with a grammar, and interpreter names of files without extension.
 EXTENSIONS = {"py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "java": "java", "go": "go", "rs": "rust", "json": "json"}
 INTERPRETERS = {"python": "python", "node": "javascript", "nodejs": "javascript", "deno": "typescript", "bun": "typescript", "ts-node": "typescript"}
@@ -412,7 +413,9 @@ def repairs(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["path", "repo", "lang", "cost", "at", "reason", "has_text"])
             yield out.astype({"cost": "Int32", "at": "Int32"})
 
-    parsed = cur.where("content is not null").select("path", "repo", "content").mapInPandas(run, RESULT)
+    # parsing is bound by the CPU, so tasks go by files and cores, not by bytes
+    tasks = max(3 * files.sparkSession.sparkContext.defaultParallelism, files.count() // FILES_PER_TASK)
+    parsed = cur.where("content is not null").select("path", "repo", "content").repartition(tasks, "path").mapInPandas(run, RESULT)
     return parsed.unionByName(reported)
 
 
