@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from meshline.session import cut
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches over undirected ``links`` (a, b).
 
-    With ``rounds``, the loop stops after that many: nodes of one label are then
-    connected, but one component may still have several labels.
-
     A round gives each node the smallest label among its neighbours and then
     the label of its label, so chains halve; the loop ends when no label
     changes. Labels combine on the map side, so a hub sends one row a task.
@@ -25,8 +22,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, rounds: int | None
     ids = nodes.select("id").where("id is not null").unionByName(both.select(F.col("a").alias("id"))).distinct()
     first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
     labels = cut(ids.join(first, "id", "left").select("id", F.least("id", F.coalesce("least", "id")).alias("component")))
-    while rounds is None or rounds > 0:
-        rounds = None if rounds is None else rounds - 1
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
@@ -34,5 +30,4 @@ def connected_components(nodes: DataFrame, links: DataFrame, rounds: int | None
         changed = nxt.where("component <> old").limit(1).count()
         labels = nxt.select("id", "component")
         if not changed:
-            break
-    return labels
+            return labels

@@ -261,3 +261,19 @@ def test_notes_worktrees_and_compaction(spark, tmp_path):
     spark.range(100).repartition(5).write.parquet(str(tmp_path / "t"))
     told = records.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"))
     assert told["files_before"] == 5 and told["files_after"] == 1 and spark.read.parquet(str(tmp_path / "u")).count() == 100
+
+
+def test_semantic_and_office(spark):
+    import io
+    import zipfile
+
+    from meshline.sources import semantic
+
+    ok = json.dumps({"nodes": [{"id": "a", "evidence": "cat"}, {"id": "b", "evidence": "sat"}], "edges": [{"source": "a", "target": "b", "evidence": "cat sat"}], "hyperedges": [{"nodes": ["a", "b"], "evidence": "cat"}]})
+    rows = semantic.apply_semantic(spark.createDataFrame([(1, "the cat sat", ok), (2, "no", ok), (3, None, ok)], "doc_id bigint, text string, reply string")).collect()
+    assert sum(r["doc_id"] == 1 for r in rows) == 8 and [r["record"] for r in rows if r["doc_id"] == 2] == ["diagnostic"]
+    assert semantic.data_facts("x.json", '{"a": {"b": [1, "x"]}}') == [("a.b[0]", "1"), ("a.b[1]", "x")]
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>text</w:t></w:r></w:p></w:document>')
+    assert semantic.office_text("a.docx", buf.getvalue()) == "## T\ntext"
