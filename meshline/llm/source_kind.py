@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,17 +130,13 @@ def features(files: DataFrame) -> DataFrame:
     return cur.select("path", "repo", "content").mapInPandas(run, FEATURES)
 
 
-def _spanning(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join the similar sets of one block, or of two, verified by their Jaccard similarity.
+def _spanning(ids: list[str], sets: list[frozenset], left: int) -> list[tuple[str, str]]:
+    """Links that join the similar sets of one block, or of two (cut at ``left``), verified by their Jaccard similarity.
 
     A pair is only compared while its ends are in different components, so a
     dense family costs about one comparison a member, and no link between
     components is lost.
     """
-    rows = pdf.sort_values(["side", "set_id"])
-    ids = rows["set_id"].tolist()
-    sets = [frozenset(s) for s in rows["shingles"]]
-    left = int((rows["side"] == 0).sum())
     two = left < len(ids)
     root = list(range(len(ids)))
 
@@ -164,7 +161,25 @@ def _spanning(pdf: pd.DataFrame) -> pd.DataFrame:
             if both >= SIMILARITY * (len(a) + len(b) - both):
                 root[ri] = rj
                 out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+    return out
+
+
+def _spanning_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of sorted rows (group..., side, set_id, shingles); a group ends where the next begins."""
+    key, ids, sets, left = None, [], [], 0
+    for b in batches:
+        *group, sides, names, shingles = (c.to_pylist() for c in b.columns)
+        out: list[tuple[str, str]] = []
+        for k, side, name, sh in zip(zip(*group, strict=True), sides, names, shingles, strict=True):
+            if k != key:
+                out += _spanning(ids, sets, left)
+                key, ids, sets, left = k, [], [], 0
+            ids.append(name)
+            sets.append(frozenset(sh))
+            left += side == 0
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["a", "b"])
+    out = _spanning(ids, sets, left)
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["a", "b"])
 
 
 def family_links(sets: DataFrame) -> DataFrame:
@@ -200,7 +215,9 @@ def family_links(sets: DataFrame) -> DataFrame:
     kept = tasks.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.col("member").cast("decimal(38,0)")).alias("same")).where("n > 1")
     kept = kept.groupBy("n", "same").agg(F.min(F.struct(*group)).alias("g")).select("g.*")
     work = tasks.join(kept, group).select("set_id", *group, "side").join(sets.select("set_id", "shingles"), "set_id")
-    return work.groupBy(*group).applyInPandas(lambda pdf: _spanning(pdf), "a string, b string").distinct()
+    # one sorted stream a task: most groups are small, and a call for each would cost more than its comparisons
+    ordered = work.select(*group, "side", "set_id", "shingles").repartition(*group).sortWithinPartitions(*group, "side", "set_id")
+    return ordered.mapInArrow(_spanning_rows, "a string, b string").distinct()
 
 
 def judged(files: DataFrame) -> DataFrame:
