@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshline.operators import metrics as m
 from meshline.operators.graph import Graph
 
+# Relations that describe structure, and points of recorded confidence.
 STRUCTURAL = ("imports", "imports_from", "re_exports", "contains", "method", "member_of", "defines", "declares")
 POINTS = {"AMBIGUOUS": 3, "INFERRED": 2, "EXTRACTED": 1}
 SURPRISES, QUESTIONS = 5, 7

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshline.operators.graph import Graph
 from meshline.session import cut
 
+# Relations that make an import cycle.
 CYCLE_RELATIONS = ("imports", "imports_from", "re_exports")
 # Labels and extensions that the noise and category rules name.
 BUILTIN_LABELS = ("str", "int", "float", "bool", "bytes", "list", "dict", "set", "tuple", "None", "True", "False", "Any", "Optional", "List", "Dict", "String", "Object", "Promise", "Mock", "MagicMock")
