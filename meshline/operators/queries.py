@@ -81,6 +81,7 @@ ORACLES = {
     "p1_found": _ORPHANS + "SELECT ref_id, field, ref_key FROM orphans",
     "p1_report": _ORPHANS + "SELECT parent_table, month, CAST(sum(n) AS BIGINT) AS n_orphans, count(*) AS n_refs FROM (SELECT CASE WHEN field = 'candidate_keys' THEN 'node_aliases' ELSE 'nodes' END AS parent_table, strftime(indexed_at, '%Y-%m') AS month, ref_id, count(*) AS n FROM orphans GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "p2_found": f"WITH RECURSIVE {_LINKS}, top AS (SELECT node_id, up_id, d FROM walk WHERE up_id NOT IN (SELECT child FROM links)) SELECT i.id AS node_id, coalesce(t.up_id, '') AS root_id, CAST(coalesce(t.d, -1) AS INTEGER) AS depth FROM ids i LEFT JOIN top t ON t.node_id = i.id",
+    "p2_hierarchy": f"WITH RECURSIVE {_LINKS}, top AS (SELECT node_id, up_id, d FROM walk WHERE up_id NOT IN (SELECT child FROM links)), up AS (SELECT w.* FROM walk w WHERE w.node_id IN (SELECT node_id FROM top)), path AS (SELECT node_id, list(up_id ORDER BY d DESC) AS path FROM up GROUP BY 1), below AS (SELECT up_id AS node_id, count(*) - 1 AS n_descendants FROM up GROUP BY 1) SELECT i.id AS node_id, coalesce(t.up_id, '') AS root_id, CAST(coalesce(t.d, -1) AS INTEGER) AS depth, p.path, b.n_descendants FROM ids i LEFT JOIN top t ON t.node_id = i.id LEFT JOIN path p ON p.node_id = i.id LEFT JOIN below b ON b.node_id = i.id",
     "p2_descendants": f"WITH RECURSIVE {_LINKS}, top AS (SELECT node_id FROM walk WHERE up_id NOT IN (SELECT child FROM links)) SELECT w.up_id AS node_id, w.node_id AS descendant_id, CAST(w.d AS INTEGER) AS distance FROM walk w WHERE w.d > 0 AND w.node_id IN (SELECT node_id FROM top)",
     "p4_found": "SELECT relation, target FROM edges GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",
     "p4_per_key": "SELECT relation, target, count(*) AS n_rows, count(DISTINCT source) AS n_sources, max(generation) AS last_generation FROM edges GROUP BY 1, 2",

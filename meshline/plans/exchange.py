@@ -205,6 +205,7 @@ ORACLES = {
     "x8_suffix_aliases": r"WITH p AS (SELECT DISTINCT path, string_split(regexp_replace(path, '\.[^./]*$', ''), '/') AS s FROM files) SELECT alias, count(*) AS n_paths FROM (SELECT array_to_string(s[k:], '/') AS alias FROM p, generate_series(1, 64) g(k) WHERE k <= len(s)) GROUP BY 1",
     "x21_document_aliases": WITH + " SELECT DISTINCT id, k AS binding_key FROM (SELECT id, 'file:' || file AS k FROM gn WHERE file IS NOT NULL UNION ALL SELECT id, 'symbol:' || file || '::' || label FROM gn WHERE file IS NOT NULL AND label IS NOT NULL)",
     "x23_entities": WITH + ", k AS (SELECT id, min(id) OVER (PARTITION BY file, kind, trim(label)) AS keep FROM gn WHERE kind IN ('concept', 'entity')), e AS (SELECT g.id, g.relation, coalesce(a.keep, g.source) AS s, coalesce(b.keep, g.target) AS t FROM ge g LEFT JOIN k a ON a.id = g.source LEFT JOIN k b ON b.id = g.target) SELECT 'node' AS record, id FROM gn WHERE id NOT IN (SELECT id FROM k WHERE id <> keep) UNION ALL SELECT 'edge', id FROM e WHERE s <> t AND relation <> 'mentions'",
+    "k4_cypher": WITH + ", q AS (SELECT 1) SELECT 'MERGE (n:Node {id: ' || chr(39) || id || chr(39) || '}) SET n.label = ' || chr(39) || coalesce(label, '') || chr(39) || ', n.kind = ' || chr(39) || coalesce(kind, '') || chr(39) || ';' AS statement FROM gn UNION ALL SELECT 'MATCH (a:Node {id: ' || chr(39) || source || chr(39) || '}), (b:Node {id: ' || chr(39) || target || chr(39) || '}) MERGE (a)-[r:EDGE {id: ' || chr(39) || id || chr(39) || '}]->(b) SET r.relation = ' || chr(39) || relation || chr(39) || ';' FROM ge",
     "k6_ordinals": WITH + " SELECT id, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY id) AS ordinal FROM ge",
     "k6_layout": WITH + ", k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM gn) SELECT id, round((greatest(22 * n, 640) / 2 - 100) * cos(2 * pi() * k / n), 3) + 0.0 AS x, round((greatest(22 * n, 640) / 2 - 100) * sin(2 * pi() * k / n), 3) + 0.0 AS y FROM k",
     "k9_canvas": WITH + ", k AS (SELECT id, coalesce(repo, '') AS community, row_number() OVER (PARTITION BY coalesce(repo, '') ORDER BY id) - 1 AS k FROM gn) SELECT id, community, CAST(k % 4 * 330 AS INTEGER) AS x, CAST(k // 4 * 240 AS INTEGER) AS y FROM k",
