@@ -29,7 +29,7 @@ VENDOR_DIRS = {"vendor", "_vendor", "vendored", "node_modules", "bower_component
 OUTPUT_DIRS = {"gen", "generated", "__generated__", "autogen", "dist"}
 OUTPUT_PAIRS = {("build", "out"), ("build", "lib"), ("build", "classes"), ("build", "generated"), ("target", "debug"), ("target", "release"), ("target", "classes")}
 # File names that tools and builds give.
-OUTPUT_NAME = re.compile(r"[._]generated\.\w+$|\.(gen|g|pb|designer)\.\w+$|_pb2(_grpc)?\.pyi?$|_pb\.[cm]?[jt]sx?$|_string\.go$|^zz_generated|^(package-lock|npm-shrinkwrap)\.json$|(^|[-.])lock\.json$|^(yarn|poetry|cargo|composer|gemfile|pipfile|bun)\.lock$|^(go\.sum|pnpm-lock\.yaml)$")
+OUTPUT_NAME = re.compile(r"[._]generated\.\w+$|\.(gen|g|pb|designer)\.\w+$|_pb2(_grpc)?\.pyi?$|_pb\.[cm]?[jt]sx?$|_(string|gen)\.go$|^zz_generated|^(package-lock|npm-shrinkwrap)\.json$|(^|[-.])lock\.json$|^(yarn|poetry|cargo|composer|gemfile|pipfile|bun)\.lock$|^(go\.sum|pnpm-lock\.yaml)$")
 MINIFIED_NAME = re.compile(r"[.-]min\.[cm]?[jt]s$|\.(bundle|chunk|prod|packed)\.[cm]?[jt]s$|^[a-z]+[.-](?=[a-f]*\d)[0-9a-f]{6,}\w{0,3}\.[cm]?[jt]s$")
 # How a comment at the head of a file begins that names a tool, or an upstream, as its author.
 _LEAD = r"^[\s/#*;!<>=_-]*"
