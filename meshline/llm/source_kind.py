@@ -228,8 +228,12 @@ def judged(files: DataFrame) -> DataFrame:
     marks of a file (a tool's or upstream's head comment, the folder, the name,
     dense lines, literal bulk) stand for the file and for every member of its
     family with the same token stream, in the repository for generation and
-    minifying and across repositories for vendoring. Families without evidence
-    are hand-written, however alike. Files without text are judged by path.
+    minifying and across repositories for vendoring. Where more than half of the
+    distinct token streams of a family are so marked, the mark stands for its
+    near members too: within one repository for generation and minifying, in
+    the whole of a family that spans repositories for vendoring. Other families
+    are hand-written but for their marked streams, however alike, since
+    hand-written files share templates. Files without text are judged by path.
 
     ``kinds`` is empty for hand-written files. Null paths are dropped; an empty
     text is a family of its own kind; repeated rows count once.
@@ -243,10 +247,14 @@ def judged(files: DataFrame) -> DataFrame:
     has = lambda k: F.array_contains("marks", k)
     copies = placed.groupBy("family", "code_id").agg(F.max(has("vendored")).alias("vendored"), F.max(has("blob")).alias("blob"))
     local = placed.groupBy("family", "code_id", "repo").agg(F.max(has("generated")).alias("generated"), F.max(has("minified")).alias("minified"))
-    known = placed.alias("p").join(copies, ["family", "code_id"]).join(family, "family")
+    most = lambda k: (2 * F.count_if(k) > F.count("*")).alias(f"near_{k}")
+    across = copies.groupBy("family").agg(most("vendored")).join(family, "family").withColumn("near_vendored", F.col("near_vendored") & (F.col("family_repos") > 1))
+    local = local.join(local.groupBy("family", F.col("repo").alias("near")).agg(most("generated"), most("minified")), "family").where(F.col("repo").eqNullSafe(F.col("near"))).drop("near")
+    known = placed.alias("p").join(copies, ["family", "code_id"]).join(across, "family")
     known = known.join(local.withColumnRenamed("repo", "r"), ["family", "code_id"]).where(F.col("p.repo").eqNullSafe(F.col("r")))
+    told_or_near = lambda k: F.when(F.col(k) | F.col(f"near_{k}"), F.lit(k))
     kinds = F.array_compact(F.array(
-        F.when(F.col("generated"), F.lit("generated")), F.when(F.col("minified"), F.lit("minified")), F.when(F.col("vendored"), F.lit("vendored")),
+        told_or_near("generated"), told_or_near("minified"), told_or_near("vendored"),
         F.when(F.col("blob") | (F.col("family_literal") >= 0.95), F.lit("blob")),
     ))
     out = known.select("path", "p.repo", "lang", "family", "family_files", "family_repos", kinds.alias("kinds"))

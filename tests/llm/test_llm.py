@@ -216,6 +216,19 @@ def test_source_kinds(spark):
     assert source_kind.not_hand_written(files.limit(0)).count() == 0
 
 
+def test_family_evidence_reaches_near_members(spark):
+    """Where most token streams of a family are marked, members whose tokens differ follow; a lone mark among look-alikes does not spread."""
+    other = "def add(a, b):\n    total = 0\n    while a < b:\n        total += a\n        a += 1\n    return [total, a, b]\n"
+    lone = "class A:\n    def get(self):\n        return {self.x: 1, self.y: 2}\n\n    def put(self, v):\n        self.x, self.y = v, v\n"
+    rows = [(f"r/g{i}.py", "r", "# Code generated by tool; DO NOT EDIT.\n" + HAND.replace("walk", f"g{i}")) for i in range(3)] + [("r/bare.py", "r", HAND.replace("walk", "bare")), ("q/bare.py", "q", HAND.replace("walk", "hand"))]
+    rows += [(f"{r}/vendor/{r}.py", r, other.replace("add", f"add_{r}")) for r in "qrs"] + [("t/own.py", "t", other.replace("add", "plus"))]
+    rows += [("r/lone.py", "r", "# Code generated by tool; DO NOT EDIT.\n" + lone), ("r/hand.py", "r", lone.replace("get", "read"))]
+    files = spark.createDataFrame([(p, r, c, 1) for p, r, c in rows], "path string, repo string, content string, generation bigint")
+    got = {r["path"]: set(r["kinds"]) for r in source_kind.judged(files).collect()}
+    assert got["r/bare.py"] == {"generated"} and got["t/own.py"] == {"vendored"}
+    assert got["q/bare.py"] == got["r/hand.py"] == set() and got["r/lone.py"] == {"generated"}
+
+
 def test_family_links_join_all_similar_sets(spark, monkeypatch):
     monkeypatch.setattr(source_kind, "BLOCK", 4)
     rng = random.Random(6)
