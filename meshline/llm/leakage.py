@@ -34,9 +34,14 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """The evaluation set: its vocabulary and each item as word ids. Its size is checked when it is read."""
+    """The evaluation set: its vocabulary and each item as word ids. Its size is checked when it is read.
+
+    The first ``n_terms`` words of the vocabulary are those of the texts; words
+    that only answers hold follow, and the latent space gives them no weight.
+    """
 
     vocab: dict[str, int]
+    n_terms: int
     ids: list[int]
     texts: list[np.ndarray]
     answers: list[list[int]]
@@ -44,18 +49,20 @@ class Items:
 
 def read_items(items: DataFrame, column: str = "text") -> Items:
     """Bring the evaluation items to the driver; an evaluation set of more than ``EVAL_BYTES`` must be split by the caller."""
-    size = items.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    size = items.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
     if size > EVAL_BYTES:
         raise ValueError(f"{size} bytes of evaluation text; the bound is {EVAL_BYTES}: call once per part of the items")
     vocab: dict[str, int] = {}
-    ids, texts, answers = [], [], []
+    ids, texts, wanted = [], [], []
     for r in items.where(F.col("item_id").isNotNull()).select("item_id", column, "answer").distinct().orderBy("item_id", column, "answer").collect():
         w = words(r[column])
         if w:
             ids.append(r["item_id"])
             texts.append(np.array([vocab.setdefault(x, len(vocab)) for x in w], np.int32))
-            answers.append([vocab.get(x, -1) for x in words(r["answer"])])
-    return Items(vocab, ids, texts, answers)
+            wanted.append(words(r["answer"]))
+    n_terms = len(vocab)
+    answers = [[vocab.setdefault(x, len(vocab)) for x in w] for w in wanted]
+    return Items(vocab, n_terms, ids, texts, answers)
 
 
 def encode_documents(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
@@ -71,6 +78,11 @@ def encode_documents(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
     return plain.mapInPandas(run, "doc_id bigint, ids array<int>").where(F.size("ids") > 0)
 
 
+def _terms(ids: np.ndarray, n: int) -> np.ndarray:
+    """Word ids with -1 for all words beyond the first ``n`` of the vocabulary."""
+    return np.where(ids < n, ids, -1)
+
+
 def _windows(ids: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and rows of all windows of RUN words, the last one flush with the end."""
     n = len(ids) - RUN
@@ -126,13 +138,14 @@ def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> tuple[np.nd
 
     Randomised SVD of the TF-IDF matrix of all passages (windows of RUN words
     side by side): one pass for ``A'A W`` with a random ``W``, its QR, a second
-    pass for ``A'A Q``, and the small eigenproblem ``Q'A'AQ``.
+    pass for ``A'A Q``, and the small eigenproblem ``Q'A'AQ``. Ids of ``size``
+    or more have no weight.
     """
 
     def df(batch: list[np.ndarray], total: np.ndarray) -> None:
         for ids in batch:
             u = np.unique(ids)
-            total[u[u >= 0], 0] += 1
+            total[u[(u >= 0) & (u < size)], 0] += 1
 
     n_docs = encoded.count()
     freq = _summed(encoded, df, (size, 1))[:, 0]
@@ -144,7 +157,7 @@ def latent_space(encoded: DataFrame, size: int, rank: int = RANK) -> tuple[np.nd
         pad = _padded(basis)
 
         def fold(batch: list[np.ndarray], total: np.ndarray) -> None:
-            win = np.concatenate([_windows(ids, RUN)[1] for ids in batch])
+            win = _terms(np.concatenate([_windows(ids, RUN)[1] for ids in batch]), size)
             win = win[(win >= 0).any(axis=1)]
             for lo in range(0, len(win), 2_000):
                 part = win[lo : lo + 2_000]
@@ -184,7 +197,7 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _retrieve(encoded: DataFrame, read: Items, cosine: float, rank: int, fuzzy: bool) -> DataFrame:
     """Rows of one candidate search; see ``exact_leaks`` and ``paraphrases``."""
     spark = encoded.sparkSession
-    idf, basis = latent_space(encoded, len(read.vocab), rank)
+    idf, basis = latent_space(encoded, read.n_terms, rank)
     pad_idf, pad_basis = _padded(idf), _padded(basis)
     found = [_windows(ids, 1)[1] for ids in read.texts]
     owner = np.concatenate([np.full(len(w), k) for k, w in enumerate(found)])
@@ -224,7 +237,7 @@ def _retrieve(encoded: DataFrame, read: Items, cosine: float, rank: int, fuzzy:
             docs, src, wins, tails, n = [], [], [], [], 0
             for doc, ids in zip(b["doc_id"], b["ids"], strict=True):
                 ids = np.asarray(ids, np.int32)
-                starts, win = _windows(ids, 1)
+                starts, win = _windows(_terms(ids, shared.value[-1].n_terms), 1)
                 keep = (win >= 0).sum(axis=1) >= least
                 starts, win = starts[keep], win[keep]
                 for lo in range(0, len(win), PASSAGE_BLOCK):
@@ -248,7 +261,7 @@ def _retrieve(encoded: DataFrame, read: Items, cosine: float, rank: int, fuzzy:
 def _prepared(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, Items]:
     read = read_items(items)
     keep = [k for k, t in enumerate(read.texts) if len(t) >= RUN]
-    read = Items(read.vocab, [read.ids[k] for k in keep], [read.texts[k] for k in keep], [read.answers[k] for k in keep])
+    read = Items(read.vocab, read.n_terms, [read.ids[k] for k in keep], [read.texts[k] for k in keep], [read.answers[k] for k in keep])
     return (cut(encode_documents(docs, read.vocab)) if keep else docs), read
 
 

@@ -111,6 +111,15 @@ def test_exact_leaks(spark):
     assert len(want & near) >= 0.9 * len(want)
 
 
+def test_answer_words_need_not_occur_in_item_texts(spark):
+    text = " ".join(f"w{i}" for i in range(14))
+    its = [(1, "s", "p", text, "Forty two"), (2, "s", "p", " ".join(f"v{i}" for i in range(14)), "w3"), (3, "s", "p", " ".join(f"u{i}" for i in range(14)), None)]
+    made = [f"{text} so the answer is forty and two", f"{text} no", " ".join(f"v{i}" for i in range(14)) + " it is w3", " ".join(f"u{i}" for i in range(14)), f"{text} two forty"]
+    got = {(r["doc_id"], r["item_id"]): r["has_answer"] for r in leakage.paraphrases(docs(spark, made), items(spark, its)).collect()}
+    first = min(d for d, _ in got)
+    assert {(d - first, i): a for (d, i), a in got.items()} == {(0, 1): True, (1, 1): False, (2, 2): True, (3, 3): False, (4, 1): False}
+
+
 def test_leaks_of_nothing(spark):
     none = items(spark, [])
     assert leakage.exact_leaks(docs(spark, ["a b c"]), none).count() == 0
