@@ -123,8 +123,9 @@ def x8_suffix_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x11_python_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all current files, Python and other kinds, chosen by extension or interpreter line."""
     cur = current_rows(table(spark, d, "files"), "path", ["generation", "content"])
-    return xt.extract(cur.where("lower(path) like '%.py'"))
+    return xt.extract(cur.where("content is not null"))
 
 
 def x21_document_aliases(spark: SparkSession, d: str) -> DataFrame:

@@ -231,7 +231,7 @@ def facts_of(path: str, text: str | None, head: str = "") -> list[tuple]:
             return sql(text)
         if ext in ("py", "pyi"):
             return python(text)
-    except (SyntaxError, ValueError, RecursionError, AttributeError) as e:
+    except (SyntaxError, ValueError, RecursionError, AttributeError, TypeError, AssertionError) as e:
         return [("diagnostic", type(e).__name__, None, None, None)]
     return []
 

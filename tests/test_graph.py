@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshline.functions import text as tx
 from meshline.operators import community, compose, feedback, insights, metrics, resolve, search, traverse
 from meshline.operators.graph import Graph
+from meshline.plans import exchange
 from meshline.sources import extract, node_link, scan
 from meshline.streaming.refresh import Generations, refresh, stream_table
 
@@ -277,3 +278,10 @@ def test_semantic_and_office(spark):
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>text</w:t></w:r></w:p></w:document>')
     assert semantic.office_text("a.docx", buf.getvalue()) == "## T\ntext"
+
+
+def test_facts_of_all_kinds_of_files(spark, tmp_path):
+    rows = [("a/tool", "#!/usr/bin/env python3\ndef f(): pass\n"), ("a/b.pyi", "def g() -> int: ...\n"), ("a/c.py", "def h(): pass\n"), ("a/q.sql", "create table t (x int);"), ("a/package.json", '{"name": "p", "dependencies": null}'), ("a/x.html", "<title>T</title>"), ("a/r.txt", "Head\n====\n"), ("a/none.py", None), ("a/run", "#!/bin/sh\necho\n")]
+    spark.createDataFrame([(p, c, 1) for p, c in rows], "path string, content string, generation bigint").write.parquet(str(tmp_path / "files.parquet"))
+    got = {(r["path"], r["fact"], r["name"]) for r in exchange.x11_python_facts(spark, str(tmp_path)).collect()}
+    assert got == {("a/tool", "function", "f"), ("a/b.pyi", "function", "g"), ("a/c.py", "function", "h"), ("a/q.sql", "table", "t"), ("a/package.json", "diagnostic", "TypeError"), ("a/x.html", "title", "T"), ("a/r.txt", "heading", "Head")}
