@@ -14,7 +14,6 @@ from meshline.operators.components import connected_components
 from meshline.operators.graph import Graph
 from meshline.session import cut
 
-KERNEL_ARCS = 2_000_000
 MOST_HUBS = 20_000
 EPSILON = 1e-14
 
@@ -200,9 +199,9 @@ def kernel(adj: dict, total: float, gamma: float = 1.0, passes: int = 100, algor
 def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, passes: int = 100, seed: int = 42) -> DataFrame:
     """(id, community): connected communities, named by their smallest member.
 
-    Components do not interact but for the total weight, so each one of at most
-    KERNEL_ARCS arcs is solved by the kernel in one group; components beyond
-    that bound go to ``parallel_louvain``.
+    Components do not interact but for the total weight, so each one is solved
+    by the kernel in one group, whatever its size: algorithm, passes and seed
+    hold for all. A component's arcs must fit the memory of one task.
     """
     if algorithm not in ("louvain", "leiden") or resolution <= 0 or passes < 1:
         raise ValueError("algorithm must be louvain or leiden, resolution and passes above 0")
@@ -212,8 +211,6 @@ def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, pas
         return g.ids.select("id", F.col("id").alias("community"))
     parts = cut(connected_components(g.ids, sym.select("a", "b")))
     arcs = sym.join(parts.select(F.col("id").alias("a"), "component"), "a")
-    large = cut(arcs.groupBy("component").count().where(F.col("count") > KERNEL_ARCS).select("component"))
-    small = arcs.join(large, "component", "left_anti")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]))
@@ -227,11 +224,7 @@ def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, pas
             first.setdefault(c, names[k])
         return pd.DataFrame({"id": names, "community": [first[got[k]] for k in range(len(names))]})
 
-    out = small.groupBy("component").applyInPandas(lambda pdf: solve(pdf), "id string, community string")
-    if large.limit(1).count():
-        rest = cut(arcs.join(large, "component", "left_semi").drop("component"))
-        out = out.unionByName(parallel_louvain(rest, total, resolution))
-    linked = cut(out)
+    linked = cut(arcs.groupBy("component").applyInPandas(lambda pdf: solve(pdf), "id string, community string"))
     return linked.unionByName(g.ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("community")))
 
 

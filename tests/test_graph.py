@@ -61,6 +61,23 @@ def test_two_cliques(spark, algorithm):
     assert community.modularity(metrics.symmetric(g), part).first()[0] == pytest.approx(19 / 42, abs=1e-10)
 
 
+@pytest.mark.parametrize("algorithm", ["louvain", "leiden"])
+def test_kernel_solves_components_of_any_size(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(community, "KERNEL_ARCS", 10, raising=False)
+    rng = random.Random(4)
+    g = graph(spark, 40, [call(a, rng.randrange(a), 1, False) for a in range(1, 40) for _ in range(2)])
+    rows = metrics.symmetric(g).collect()
+    adj = {k: {} for k in range(40)}
+    for r in sorted(rows):
+        adj[int(r["a"][1:])][int(r["b"][1:])] = r["weight"]
+    total = sum(r["weight"] for r in rows)
+    for passes in (1, 100):
+        want, got = community.kernel(adj, total, 1.0, passes, algorithm, 7), {}
+        for r in community.partition(g, algorithm, passes=passes, seed=7).collect():
+            got[int(r["id"][1:])] = int(r["community"][1:])
+        assert got == {i: min(j for j in want if want[j] == c) for i, c in want.items()}
+
+
 def test_parallel_louvain_keeps_cliques_whole(spark):
     sym = metrics.symmetric(cliques(spark))
     part = {r["id"]: r["community"] for r in community.parallel_louvain(sym, sym.agg(F.sum("weight")).first()[0], rounds=3, levels=1).collect()}
