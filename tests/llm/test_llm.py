@@ -53,6 +53,21 @@ def test_token_table_cases(spark, reference_encoding):
     assert tokenizer.encode_table(docs(spark, [])).count() == 0
 
 
+@needs_vocabulary
+def test_one_long_piece_takes_linear_time(reference_encoding):
+    import time
+
+    enc, rng = tokenizer.encoder(tokenizer.VOCABULARY), random.Random(3)
+    took = {}
+    for n in (20_000, 160_000):
+        s = "".join(rng.choice("abcdefghij") for _ in range(n))
+        start = time.perf_counter()
+        ids = enc.piece(s)
+        took[n] = time.perf_counter() - start
+        assert "".join(enc.token[i] for i in ids) == s
+    assert took[160_000] < 24 * took[20_000]  # 8 times the letters; quadratic time would be 64 times
+
+
 # --- look-alikes ---
 
 
@@ -80,6 +95,32 @@ def test_agreeing_pairs(spark):
     assert canon[3] == 0 and canon[10] == 9 and canon[4] == 4 and len(canon) == len(texts)
 
 
+def test_collation_classes_hold_every_agreeing_pair(spark):
+    """Each character that the form changes, in a text of its own, meets the text's form; case apart, nothing else."""
+    import sys
+    import unicodedata
+
+    texts = []
+    for code in range(128, sys.maxunicode + 1):
+        text = f"w{code}a{chr(code)} b"
+        if unicodedata.category(chr(code)) not in ("Cn", "Co", "Cs", "Cc") and one_form(text) != text:
+            texts += [text, one_form(text)]
+    texts += ["q a\u0323\u0301", "q a\u0301\u0323", "Q a\u0323\u0301", "q \u1ea1\u0301"]
+    got = {tuple(r) for r in lookalike.agreeing_pairs(docs(spark, texts)).collect()}
+    n = len(texts) - 4
+    assert len(texts) > 10_000 and {(i, i + 1) for i in range(0, n, 2)} <= got
+    assert {p for p in got if p[1] >= n} == {(n, n + 1), (n, n + 3), (n + 1, n + 3)}
+
+
+def test_candidates_are_few_and_hold_case_variants(spark):
+    found = {r["doc_id"] for r in lookalike.candidates(docs(spark, ["Same Text", "same text", "Ｓame text", "other", None, "", "other"])).collect()}
+    assert found == {0, 1, 2} and {tuple(r) for r in lookalike.agreeing_pairs(docs(spark, ["Same Text", "same text", "ｓame text"])).collect()} == {(1, 2)}
+
+
+def test_letters_are_mapped_before_and_after_compatibility_forms():
+    assert one_form("\u03f2\u03f9\u043a\u0261\u0251\u04af\u04cf") == "cCkgayl" and one_form("\u0457") == "\u00ef"
+
+
 # --- leakage ---
 
 
