@@ -37,6 +37,7 @@ class Encoder:
         self.cut = regex.compile(PATTERN).findall
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for t, i in ranks.items():
             self.trie.add_word(t, i)
@@ -58,7 +59,7 @@ class Encoder:
 
     def _longest(self, s: str, at: int, most: int | None = None) -> int | None:
         """The longest token that starts at ``at``, of ``most`` characters at most."""
-        n = len(s) - at if most is None else most
+        n = min(len(s) - at, self.longest) if most is None else most
         n = min(n, self.trie.longest_prefix(s[at : at + n])) if n > 0 else 0
         while n > 0:
             got = self.ranks.get(s[at : at + n])
