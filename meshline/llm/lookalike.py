@@ -27,8 +27,11 @@ UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 LINE_ENDS = "\n\r\x85\u2028\u2029"
 
 
+_SHAPES = {ord(a): b for one, other in (CYRILLIC_UPPER, CYRILLIC_LOWER, GREEK_UPPER, GREEK_LOWER, CYRILLIC_AS_GREEK, LATIN_LOWER) for a, b in zip(one, other, strict=True)}
+
+
 class _Table(dict):
-    """Character map filled on first use of each character."""
+    """What each character is brought to, filled on its first use: nothing, a plain space, a look-alike or itself."""
 
     def __missing__(self, code: int):
         ch = chr(code)
@@ -38,13 +41,12 @@ class _Table(dict):
         elif ch not in LINE_ENDS and (cat == "Zs" or ch in "\t\v\f"):
             to = " "
         else:
-            to = code
+            to = _SHAPES.get(code, code)
         self[code] = to
         return to
 
 
 _CLEAN = _Table()
-_SHAPES = {ord(a): b for one, other in (CYRILLIC_UPPER, CYRILLIC_LOWER, GREEK_UPPER, GREEK_LOWER, CYRILLIC_AS_GREEK, LATIN_LOWER) for a, b in zip(one, other, strict=True)}
 
 
 def one_form(text: str | None) -> str | None:
@@ -60,7 +62,7 @@ def one_form(text: str | None) -> str | None:
         return None
     if text.isascii():
         return text.translate(_CLEAN) if "\t" in text or "\v" in text or "\f" in text else text
-    flat = unicodedata.normalize("NFKD", text.translate(_CLEAN).translate(_SHAPES)).translate(_CLEAN).translate(_SHAPES)
+    flat = unicodedata.normalize("NFKD", text.translate(_CLEAN)).translate(_CLEAN)
     return unicodedata.normalize("NFC", flat)
 
 
