@@ -16,9 +16,6 @@ from meshline.operators.graph import Graph
 from meshline.operators.traverse import Options, Result
 from meshline.session import cut
 
-MOST_TOKENS = 1_000_000
-BYTES_PER_TOKEN = 4
-
 
 @dataclass
 class Answer:
@@ -32,16 +29,6 @@ class Answer:
     estimated_tokens: int = 0
 
 
-def first_fit(sizes: list[int], bytes_left: int) -> tuple[list[int], int]:
-    """Positions of the records that fit, each tried in order and skipped if too large, and the bytes used."""
-    taken, used = [], 0
-    for k, n in enumerate(sizes):
-        if used + n + 1 <= bytes_left:
-            taken.append(k)
-            used += n + 1
-    return taken, used
-
-
 class GraphEngine:
     """Reads of one snapshot. Whole-graph results are cut once and kept for later calls."""
 
@@ -77,11 +64,11 @@ class GraphEngine:
         if infer_context and not o.contexts:
             o = Options(**{**vars(o), "contexts": tuple(tx.infer_contexts(text))})
         seeds = [r["id"] for r in search.seeds(self.graph.nodes, [text]).orderBy("pos").collect()]
-        return self._answer(seeds, traverse.explore(self.graph, seeds, o, order), token_budget)
+        return self._answer(seeds, traverse.explore(self.graph, seeds, o, order, token_budget, self.refs))
 
     def neighbors(self, text: str, options: Options | None = None, token_budget: int | None = None) -> Answer:
         seed = self.resolve(text)
-        return self._answer([seed], traverse.explore(self.graph, [seed], options or Options()), token_budget)
+        return self._answer([seed], traverse.explore(self.graph, [seed], options or Options(), token_budget=token_budget, refs=self.refs))
 
     def callers(self, text: str) -> Answer:
         return self.neighbors(text, Options(direction="incoming", relations=("calls",)))
@@ -106,34 +93,9 @@ class GraphEngine:
     def surprises(self, keep: int = insights.SURPRISES) -> DataFrame:
         return insights.top_surprises(insights.surprises(insights.eligible_edges(self.graph, self.communities, self.degree)), keep)
 
-    def _answer(self, seeds: list[str], r: Result, token_budget: int | None) -> Answer:
-        """Payload of a result; with a budget, records enter in order as far as each fits, the first seed in any case."""
-        if token_budget is not None and not 1 <= token_budget <= MOST_TOKENS:
-            raise ValueError(f"a token budget must be 1 to {MOST_TOKENS}")
-        g = self.graph
-        js = lambda df, ids: {x["id"]: x["j"] for x in df.where(F.col("id").isin(*ids)).select("id", F.to_json(F.struct(*df.columns)).alias("j")).collect()} if ids else {}
-        nodes, edges = js(g.nodes, r.nodes), js(g.edges, r.edges)
-        n, e = [nodes[i] for i in r.nodes if i in nodes], [edges[i] for i in r.edges if i in edges]
-        unresolved: list[str] = []
-        if self.refs is not None and r.nodes:
-            ids = g.nodes.where(F.col("id").isin(*r.nodes)).select("id")
-            unresolved = [x["id"] for x in traverse.unresolved_of(self.refs, ids).select("id").orderBy("id").limit(501).collect()]
-            if len(unresolved) > 500:
-                r.stop("unresolved_limit")
-                unresolved = unresolved[:500]
-        sizes = [len(x.encode()) for x in n + e]
-        if token_budget is not None:
-            limit = token_budget * BYTES_PER_TOKEN
-            if sizes and sizes[0] + 1 > limit:
-                raise ValueError("the budget does not hold the first seed")
-            taken, used = first_fit(sizes, limit)
-            if len(taken) < len(sizes):
-                r.stop("token_budget")
-            both = n + e
-            n, e = [both[k] for k in taken if k < len(n)], [both[k] for k in taken if k >= len(n)]
-        else:
-            used = sum(s + 1 for s in sizes)
-        return Answer(seeds, n, e, unresolved, r.reasons, -(-used // BYTES_PER_TOKEN))
+    @staticmethod
+    def _answer(seeds: list[str], r: Result) -> Answer:
+        return Answer([s for s in seeds if s in r.depths], [r.records["node", i] for i in r.nodes], [r.records["edge", i] for i in r.edges], r.unresolved, r.reasons, -(-r.bytes // traverse.BYTES_PER_TOKEN))
 
     def report(self, top: int = 10) -> str:
         """Markdown on counts, hubs, communities, confidence, cycles and surprises, from collected top lists."""

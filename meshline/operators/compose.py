@@ -33,21 +33,37 @@ def merge(graphs: dict[str, Graph]) -> Graph:
     return Graph(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges))
 
 
-def unwrap(metadata):
-    """Metadata below one layer of provenance, or as it is."""
-    return F.coalesce(F.get_json_object(metadata, "$.original_metadata"), metadata)
+def _package_claims(nodes: DataFrame, key: str, project: str) -> DataFrame:
+    k = F.col(key)
+    named = k.rlike("^package:[^:]+:.+") & ~k.rlike("\\s")
+    return nodes.where((F.col("kind") == "package") & named & F.col(project).isNotNull() & F.col("id").isNotNull()).select(k.alias("key"), "id", F.col(project).alias("project")).distinct()
+
+
+def package_classes(nodes: DataFrame, key: str = "binding_key", project: str = "project") -> DataFrame:
+    """(key, id, project, n_links): package nodes whose key another project claims, each with its number of links.
+
+    The links of a key join all pairs of its nodes in different projects; class
+    and counts say the same in one row a node: all nodes of the key less those
+    of the own project. Keys read ``package:ecosystem:name`` without white space.
+    """
+    claims = _package_claims(nodes, key, project)
+    total = claims.groupBy("key").agg(F.count("*").alias("n"))
+    own = claims.groupBy("key", "project").agg(F.count("*").alias("own"))
+    return claims.join(own, ["key", "project"]).join(total, "key").where("n > own").select("key", "id", "project", (F.col("n") - F.col("own")).alias("n_links"))
 
 
 def link_packages(nodes: DataFrame, key: str = "binding_key", project: str = "project") -> DataFrame:
-    """(key, a, b) undirected ``same_package`` links of package nodes with one key in different projects.
+    """(key, a, b), a < b: undirected ``same_package`` links, one for each pair of a key's nodes in different projects.
 
-    The claims of a key form a star on its smallest id, which joins the same
-    nodes as all pairs do without their number; a key's claims in one project
-    are linked through the star as well if another project claims it.
+    The output has one row a pair, which is what composed graphs store; where
+    many projects share a package, ``package_classes`` says the same without
+    pairs. Nodes of keys that one project alone claims are dropped before the
+    join.
     """
-    claims = nodes.where((F.col("kind") == "package") & F.col(key).isNotNull() & ~F.col(key).rlike("\\s")).select(F.col(key).alias("key"), "id", F.col(project).alias("project"))
-    hub = claims.groupBy("key").agg(F.min("id").alias("hub"), F.min("project").alias("p1"), F.max("project").alias("p2")).where("p1 <> p2").select("key", "hub")
-    return claims.join(hub, "key").where("id <> hub").select("key", F.col("hub").alias("a"), F.col("id").alias("b"))
+    claims = package_classes(nodes, key, project)
+    one = claims.select("key", F.col("id").alias("a"), F.col("project").alias("pa"))
+    other = claims.select("key", F.col("id").alias("b"), F.col("project").alias("pb"))
+    return one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).select("key", "a", "b")
 
 
 def link_references(refs: DataFrame, keys: DataFrame, owner: DataFrame) -> DataFrame:

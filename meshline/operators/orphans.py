@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from meshline.session import buckets_for
 from meshline.tables import current_rows
 
 SURVIVORS = "space int, ref_key string, generation bigint"
+RANGE_ROWS = 100_000
+SALTS = 8
 
 
 def live_parents(nodes: DataFrame, aliases: DataFrame, stubs: DataFrame) -> DataFrame:
@@ -76,24 +80,31 @@ def _surviving(pdf: pd.DataFrame) -> pd.DataFrame:
 def orphan_references(refs: DataFrame, nodes: DataFrame, aliases: DataFrame, stubs: DataFrame) -> DataFrame:
     """(ref_id, field, ref_key, indexed_at, generation): every value that no live record known to its ref answers to.
 
-    Keys are cut into hashed ranges. Within a range they are dictionary-encoded
-    as dense integers, one compressed bitmap per period (index generation) is
+    Keys are cut into hashed ranges, one a partition, of about RANGE_ROWS rows
+    at any size. Within a range they are dictionary-encoded as dense integers, one compressed bitmap per period (index generation) is
     built for references and parents, ``reference AND-NOT parents so far``
     leaves the orphans, and their bits are decoded. Only distinct (key, period)
     rows are shuffled to the ranges, so a key held by a third of all refs counts
-    once per period; the surviving keys then select the refs by a semi join,
-    which adaptive execution splits where one key is hot.
+    once per period; the surviving keys, salted, then select the refs by a semi
+    join, so that the refs of a hot key go to SALTS tasks.
 
     Empty tables: without refs nothing comes out, without parents every value
     does. Keys are opaque strings, compared exactly; the empty string is a key.
     """
     values = reference_values(refs)
-    ranges = buckets_for(3 * refs.count() + 2 * nodes.count())
+    ranges = buckets_for(3 * refs.count() + 2 * nodes.count(), RANGE_ROWS)
     asked = values.select("space", F.col("ref_key").alias("key"), "generation").distinct().withColumn("parent", F.lit(False))
     known = live_parents(nodes, aliases, stubs).select("space", "key", F.col("since").alias("generation")).withColumn("parent", F.lit(True))
-    both = asked.unionByName(known).withColumn("range", F.pmod(F.xxhash64("space", "key"), F.lit(ranges)))
-    left = both.groupBy("range").applyInPandas(lambda pdf: _surviving(pdf), SURVIVORS)
-    return values.join(left, ["space", "ref_key", "generation"], "left_semi").select("ref_id", "field", "ref_key", "indexed_at", "generation").distinct()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = list(batches)
+        if whole:
+            yield _surviving(pd.concat(whole, ignore_index=True))
+
+    left = asked.unionByName(known).repartition(ranges, "space", "key").mapInPandas(solve, SURVIVORS)
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = values.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(left, ["space", "ref_key", "generation", "salt"], "left_semi").select("ref_id", "field", "ref_key", "indexed_at", "generation")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshline.functions.text import context_alias
@@ -12,6 +12,11 @@ from meshline.operators.graph import Graph
 from meshline.session import cut
 
 WORK_LIMIT = 5_000
+MOST_SEEDS = 20
+MOST_TOKENS = 1_000_000
+BYTES_PER_TOKEN = 4
+EMPTY_BYTES = len('{"nodes":[],"edges":[],"unresolved":[]}') + 1
+PREFETCH = 16
 # Relations followed backwards by impact, and those that only widen its seeds.
 IMPACT_RELATIONS = ("calls", "indirect_call", "declared_member", "declared_callee", "references", "imports", "imports_from", "dynamic_import", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds", "requires", "type", "uses_type", "type_of", "field_type", "parameter_type", "return_type", "generic_arg", "documents")
 MEMBERSHIP = ("contains", "method", "defines")
@@ -44,17 +49,34 @@ class Options:
 
 @dataclass
 class Result:
-    """What an exploration admitted, in order, and why it stopped short."""
+    """What an exploration admitted, in order, and why it stopped short.
+
+    ``records`` has the JSON text of every admitted node and edge, ``bytes`` the
+    size of all that was admitted, with one separator each.
+    """
 
     nodes: list[str] = field(default_factory=list)
     edges: list[str] = field(default_factory=list)
+    unresolved: list[str] = field(default_factory=list)
     reasons: list[str] = field(default_factory=list)
     depths: dict[str, int] = field(default_factory=dict)
+    records: dict[tuple[str, str], str] = field(default_factory=dict)
+    bytes: int = EMPTY_BYTES
+    most_bytes: int | None = None
 
     def stop(self, reason: str) -> None:
         if reason not in self.reasons:
             self.reasons.append(reason)
 
+    def pay(self, *texts: str) -> bool:
+        """Charge records to the budget, all or none."""
+        cost = sum(len(t.encode()) + 1 for t in texts)
+        if self.most_bytes is not None and self.bytes + cost > self.most_bytes:
+            self.stop("token_budget")
+            return False
+        self.bytes += cost
+        return True
+
 
 def adjacency(g: Graph, direction: str = "both", relations: tuple[str, ...] = ()) -> DataFrame:
     """(id, stream, edge_id, other, relation): what each node sees, undirected edges from both ends.
@@ -74,12 +96,19 @@ def adjacency(g: Graph, direction: str = "both", relations: tuple[str, ...] = ()
 
 def context_of(metadata: str = "metadata", relation: str = "relation"):
     """Contexts of an edge: its ``context`` attribute, a string or a list of them, or else its relation's alias."""
-    raw = F.get_json_object(metadata, "$.context")
+    raw = F.get_json_object(unwrap(F.col(metadata)), "$.context")
     listed = F.from_json(raw, "array<string>")
     alias = lambda c: context_alias_column(c)
     return F.when(raw.isNull(), F.array(alias(F.col(relation)))).when(raw.startswith("["), F.transform(listed, alias)).otherwise(F.array(alias(raw)))
 
 
+def unwrap(metadata):
+    """Metadata below all layers of provenance that compositions have put around it."""
+    layers = F.regexp_count(metadata, F.lit('"original_metadata"'))
+    below = F.aggregate(F.sequence(F.lit(1), layers), metadata, lambda m, _: F.coalesce(F.get_json_object(m, "$.original_metadata"), m))
+    return F.when(layers > 0, below).otherwise(metadata)
+
+
 def context_alias_column(c):
     from meshline.functions.text import CONTEXT_ALIASES
 
@@ -90,114 +119,181 @@ def context_alias_column(c):
     return out
 
 
-def _allowed(g: Graph, ids: set[str], o: Options) -> set[str]:
-    if not (o.files or o.kinds):
-        return ids
-    n = g.nodes.where(F.col("id").isin(*ids))
-    if o.files:
-        n = n.where(F.col("file").isin(*o.files))
-    if o.kinds:
-        n = n.where(F.col("kind").isin(*o.kinds))
-    return {r["id"] for r in n.select("id").collect()}
+def _json(df: DataFrame):
+    return F.to_json(F.struct(*df.columns)).alias("json")
+
+
+class _Reader:
+    """Edges of nodes in their order, and the nodes at their other ends that pass the filters, read as they are asked for."""
+
+    def __init__(self, g: Graph, o: Options):
+        self.g, self.o = g, o
+        self.want = {context_alias(c) for c in o.contexts}
+        e = Graph(g.nodes, g.edges.select("*", _json(g.edges), context_of().alias("contexts")))
+        adj = adjacency(e, o.direction, o.relations).select("id", "stream", "edge_id", "other")
+        self.adjacent = adj
+        self.edge_texts = e.edges.select(F.col("id").alias("edge_id"), "json", "contexts")
+        self.edges: dict[str, list] = {}
+        self.nodes: dict[str, str] = {}
+        self.asked: set[str] = set()
+
+    def ask_nodes(self, ids: set[str]) -> None:
+        new = ids - self.asked
+        self.asked |= new
+        if new:
+            n = self.g.nodes.where(F.col("id").isin(*new))
+            for column, values in (("file", self.o.files), ("kind", self.o.kinds)):
+                n = n.where(F.col(column).isin(*values)) if values else n
+            self.nodes |= {r["id"]: r["json"] for r in n.select("id", _json(n)).collect()}
+
+    def ask_edges(self, ids: list[str], most: int, level: bool = False) -> None:
+        """The first ``most`` edges of the ids, in their order; of several ids that are no level only whole ones are kept."""
+        new = [i for i in dict.fromkeys(ids) if i not in self.edges]
+        if not new or most <= 0:
+            return
+        at = self.g.nodes.sparkSession.createDataFrame(list(enumerate(new)), "pos int, id string")
+        near = self.adjacent.join(F.broadcast(at), "id").orderBy("pos", "stream", "edge_id").limit(most)
+        rows = near.join(self.edge_texts, "edge_id").orderBy("pos", "stream", "edge_id").collect()
+        for i in new:
+            self.edges[i] = []
+        for row in rows:
+            self.edges[row["id"]].append(row)
+        if len(rows) == most:
+            cut_off = new.index(rows[-1]["id"])
+            for i in new[cut_off + (level or cut_off == 0) :]:
+                del self.edges[i]
+        self.ask_nodes({row["other"] for row in rows})
+
+    def fits(self, row) -> bool:
+        return not self.want or bool(self.want & set(row["contexts"]))
+
 
+class _OutOfWork(Exception):
+    pass
 
-def explore(g: Graph, seeds: list[str], o: Options, order: str = "bfs") -> Result:
-    """Bounded exploration from at most 20 seeds, in the order of a sequential queue (bfs) or stack (dfs).
 
-    A level is one filtered scan of the edges of at most ``limit`` ids; never
-    more than WORK_LIMIT edges are examined, so what reaches the driver has the
-    size of the answer. When the work limit falls inside a level, what that
-    level had found is dropped. Edges among admitted nodes are kept once;
-    edges to nodes that the filters refuse or the limit shuts out are not.
+def explore(g: Graph, seeds: list[str], o: Options, order: str = "bfs", token_budget: int | None = None, refs: DataFrame | None = None) -> Result:
+    """Bounded exploration from at most MOST_SEEDS seeds, in the order of a sequential queue (bfs) or stack (dfs).
+
+    Nodes are expanded (their edges examined, WORK_LIMIT in all) and edges
+    followed one by one. An edge is admitted when it is followed, together with
+    the node it newly reaches; both are charged to the token budget then, and
+    what does not fit is neither admitted nor expanded, so no admitted edge has
+    an end outside. A breadth-first level is examined before any of its edges is
+    followed; where the work limit falls inside a level, that level's edges are
+    dropped. Depth-first follows each edge down before the next, and expands a
+    node again only when it is reached at a lesser depth. ``refs`` adds the
+    unbound references of the admitted nodes, charged last.
+
+    What reaches the driver has the size of the answer: never more than
+    WORK_LIMIT edges.
     """
-    r = Result()
-    want = {context_alias(c) for c in o.contexts}
-    adj = adjacency(g, o.direction, o.relations).withColumn("contexts", context_of()) if want else adjacency(g, o.direction, o.relations)
-    columns = ["id", "stream", "edge_id", "other", *(["contexts"] if want else [])]
-    for s in seeds[:20]:
+    if token_budget is not None and not 1 <= token_budget <= MOST_TOKENS:
+        raise ValueError(f"a token budget must be 1 to {MOST_TOKENS}")
+    r = Result(most_bytes=None if token_budget is None else token_budget * BYTES_PER_TOKEN)
+    read = _Reader(g, o)
+    heads = Options()
+    first = _Reader(g, heads)
+    first.ask_nodes(set(seeds[:MOST_SEEDS]))
+    for s in seeds[:MOST_SEEDS]:
         if len(r.nodes) == o.limit:
             r.stop("node_limit")
             break
-        if s not in r.depths:
+        if s in r.depths or s not in first.nodes:
+            continue
+        if r.pay(first.nodes[s]):
             r.depths[s] = 0
             r.nodes.append(s)
-    if len(seeds) > 20:
+            r.records["node", s] = first.nodes[s]
+        elif not r.nodes:
+            raise ValueError("the token budget does not hold the first seed")
+    if len(seeds) > MOST_SEEDS:
         r.stop("seed_limit")
-    seen_edges: set[str] = set()
-    examined, cache = 0, {}
-
-    def fetch(ids: list[str]) -> None:
-        rows = adj.where(F.col("id").isin(*ids)).select(*columns).orderBy("id", "stream", "edge_id")
-        ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("stream", "edge_id"))).where(F.col("rn") <= WORK_LIMIT)
-        for i in ids:
-            cache[i] = []
-        for row in ranked.collect():
-            cache[row["id"]].append(row)
-
-    def step(node: str, depth: int, rows: list, refused: set[str]) -> list[tuple[str, int]]:
-        grown = []
-        for row in rows:
-            if want and not want & set(row["contexts"]):
-                continue
-            other = row["other"]
-            if other not in r.depths:
-                if other in refused:
-                    continue
-                if len(r.nodes) >= o.limit:
-                    r.stop("node_limit")
-                    continue
-                r.depths[other] = depth + 1
-                r.nodes.append(other)
-                grown.append((other, depth + 1))
-            elif order == "dfs" and r.depths[other] > depth + 1:
-                r.depths[other] = depth + 1
-                grown.append((other, depth + 1))
-            if row["edge_id"] not in seen_edges:
-                seen_edges.add(row["edge_id"])
-                r.edges.append(row["edge_id"])
-        return grown
-
-    def refusals(rows: list) -> set[str]:
-        new = {x["other"] for x in rows} - set(r.depths)
-        return new - _allowed(g, new, o) if new and (o.files or o.kinds) else set()
-
-    if order == "dfs":
-        stack = [(s, 0) for s in reversed(r.nodes)]
-        while stack:
-            node, depth = stack.pop()
-            if depth >= o.depth or r.depths[node] < depth:
-                continue
-            if examined >= WORK_LIMIT:
-                r.stop("work_limit")
-                break
-            if node not in cache:
-                fetch(list(dict.fromkeys([node, *[n for n, k in stack if k < o.depth and n not in cache]]))[: o.limit])
-            rows = cache[node][: WORK_LIMIT - examined]
-            examined += len(rows)
-            stack += reversed(step(node, depth, rows, refusals(rows)))
-        return r
-    level = list(r.nodes)
-    for depth in range(o.depth):
-        if not level:
+    examined, expanded = 0, {}
+
+    def expand(node: str, depth: int, beside: list[str] = ()) -> list:
+        nonlocal examined
+        if depth >= o.depth or expanded.get(node, depth + 1) <= depth:
+            return []
+        expanded[node] = depth
+        if examined == WORK_LIMIT:
+            r.stop("work_limit")
+            raise _OutOfWork
+        if node not in read.edges:
+            read.ask_edges([node, *[x for x in beside if x not in read.edges]], WORK_LIMIT)
+        rows = read.edges[node][: WORK_LIMIT - examined]
+        examined += len(rows)
+        if examined == WORK_LIMIT:
+            r.stop("work_limit")
+        return [x for x in rows if read.fits(x)]
+
+    def follow(row, depth: int) -> bool:
+        """Admit an edge and its end; true where the end is to be expanded at ``depth``."""
+        other, edge = row["other"], row["edge_id"]
+        fresh = other not in r.depths
+        if fresh and other not in read.nodes:
+            return False
+        if fresh and len(r.nodes) == o.limit:
+            r.stop("node_limit")
+            return False
+        new = [] if ("edge", edge) in r.records else [row["json"]]
+        if not r.pay(*new, *([read.nodes[other]] if fresh else [])):
+            return False
+        if fresh:
+            r.nodes.append(other)
+            r.records["node", other] = read.nodes[other]
+        if new:
+            r.edges.append(edge)
+            r.records["edge", edge] = row["json"]
+        if fresh or depth < r.depths[other]:
+            r.depths[other] = depth
+            return True
+        return False
+
+    try:
+        if order == "dfs":
+            for s in list(r.nodes):
+                path = [(iter(expand(s, 0)), 1)]
+                while path:
+                    rows, depth = path[-1]
+                    row = next(rows, None)
+                    if row is None:
+                        path.pop()
+                    elif follow(row, depth):
+                        after = [x["other"] for x in read.edges[row["id"]] if x["other"] not in r.depths] if depth < o.depth else []
+                        path.append((iter(expand(row["other"], depth, after[:PREFETCH])), depth + 1))
+        else:
+            level = list(r.nodes)
+            for depth in range(o.depth):
+                read.ask_edges(level, WORK_LIMIT - examined, level=True)
+                rows = [x for node in level for x in expand(node, depth)]
+                level = [x["other"] for x in rows if follow(x, depth + 1)]
+    except _OutOfWork:
+        pass
+    if refs is not None and o.direction != "incoming" and r.nodes:
+        _add_unresolved(g, refs, o, read.want, r, WORK_LIMIT - examined)
+    return r
+
+
+def _add_unresolved(g: Graph, refs: DataFrame, o: Options, want: set[str], r: Result, work: int) -> None:
+    """Unbound references of the admitted nodes, by node and id, as far as work, limit and budget go."""
+    at = g.nodes.sparkSession.createDataFrame(list(enumerate(r.nodes)), "pos int, source string")
+    mine = refs.where("resolved_target is null").join(F.broadcast(at), "source")
+    mine = mine.where(F.col("relation").isin(*o.relations)) if o.relations else mine
+    shown = [c for c in ("source", "label", "relation", "file", "line", "reason") if c in refs.columns]
+    rows = mine.orderBy("pos", "id").limit(work + 1).select("id", "relation", F.to_json(F.struct(*shown)).alias("json")).collect()
+    for k, x in enumerate(rows):
+        if k == work:
+            r.stop("work_limit")
             break
-        fetch(level)
-        taken, cut_short = [], False
-        for k, node in enumerate(level):
-            rows = cache[node][: WORK_LIMIT - examined]
-            examined += len(rows)
-            taken.append((node, rows))
-            if examined >= WORK_LIMIT:
-                r.stop("work_limit")
-                cut_short = k < len(level) - 1
-                break
-        if cut_short:
+        if want and context_alias(x["relation"] or "") not in want:
+            continue
+        if len(r.unresolved) == o.limit:
+            r.stop("unresolved_limit")
             break
-        refused = refusals([x for _, rows in taken for x in rows])
-        grown = []
-        for node, rows in taken:
-            grown += step(node, depth, rows, refused)
-        level = [n for n, _ in grown]
-    return r
+        if r.pay(x["json"]):
+            r.unresolved.append(x["id"])
+            r.records["ref", x["id"]] = x["json"]
 
 
 def induced_edges(g: Graph, ids: DataFrame) -> DataFrame:

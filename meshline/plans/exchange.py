@@ -34,11 +34,18 @@ def c1_merge_edges(spark: SparkSession, d: str) -> DataFrame:
     return _two(spark, d).edges.select("id", "source", "target", "project")
 
 
+def _named_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with keys under which packages of different repositories share the first word of their folder."""
+    named = F.concat(F.lit("package:folder:"), F.regexp_replace("label", "_[0-9a-z]+$", ""))
+    return current_graph(spark, d).nodes.withColumn("binding_key", named).withColumn("project", F.coalesce("repo", F.lit("")))
+
+
 def c2_link_packages(spark: SparkSession, d: str) -> DataFrame:
-    """Packages of different repositories whose folders share their first word."""
-    g = current_graph(spark, d)
-    named = g.nodes.withColumn("key", F.concat(F.lit("package:"), F.regexp_replace("label", "_[0-9a-z]+$", ""))).withColumn("project", F.coalesce("repo", F.lit("")))
-    return c.link_packages(named.drop("binding_key").withColumnRenamed("key", "binding_key"))
+    return c.link_packages(_named_packages(spark, d))
+
+
+def c2_package_classes(spark: SparkSession, d: str) -> DataFrame:
+    return c.package_classes(_named_packages(spark, d))
 
 
 def c3_link_references(spark: SparkSession, d: str) -> DataFrame:
@@ -181,17 +188,19 @@ def k11_source_tree(spark: SparkSession, d: str) -> DataFrame:
     return ex.source_tree(current_graph(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (c1_merge_nodes, c1_merge_edges, c2_link_packages, c3_link_references, c5_fingerprint, m3_decay, m5_lessons, m6_unique_labels, s2_fingerprints, s3_snapshot, s8_external_stubs, x1_language, x2_document_facts, x2_headings, x6_urls, x8_suffix_aliases, x11_python_facts, x21_document_aliases, x23_entities, k1_snapshot_json, k2_node_link, k3_graphml, k4_cypher, k5_mermaid, k6_ordinals, k6_layout, k9_canvas, k10_call_flow, k11_source_tree)}
+QUERIES = {f.__name__: f for f in (c1_merge_nodes, c1_merge_edges, c2_link_packages, c2_package_classes, c3_link_references, c5_fingerprint, m3_decay, m5_lessons, m6_unique_labels, s2_fingerprints, s3_snapshot, s8_external_stubs, x1_language, x2_document_facts, x2_headings, x6_urls, x8_suffix_aliases, x11_python_facts, x21_document_aliases, x23_entities, k1_snapshot_json, k2_node_link, k3_graphml, k4_cypher, k5_mermaid, k6_ordinals, k6_layout, k9_canvas, k10_call_flow, k11_source_tree)}
 QUERIES |= {"review_file_impact": p_file_impact, "review_overlaps": p_overlaps}
 
 WITH = f"WITH {SQL}"
 _NS = "'project:' || to_json([{p}, {c}])"
 _SIDES = ", nn AS (SELECT *, CASE WHEN repo < 'e' THEN 'first' ELSE 'second' END AS project FROM gn)"
 _EV = ", ev AS (SELECT doc_id, epoch(created_at)::BIGINT AS ts, CASE doc_id % 3 WHEN 0 THEN 'useful' WHEN 1 THEN 'dead_end' END AS outcome, path AS node_id FROM documents WHERE source IN ('memory', 'issue') AND path IS NOT NULL)"
+_PACKAGES = ", cl AS (SELECT 'package:folder:' || regexp_replace(label, '_[0-9a-z]+$', '') AS key, id, coalesce(repo, '') AS project FROM gn WHERE kind = 'package' AND NOT regexp_matches(label, '\\s') AND regexp_replace(label, '_[0-9a-z]+$', '') <> '')"
 ORACLES = {
     "c1_merge_nodes": WITH + _SIDES + f" SELECT {_NS.format(p='project', c='id')} AS id, project, label FROM nn",
     "c1_merge_edges": WITH + _SIDES + f" SELECT {_NS.format(p='s.project', c='e.id')} AS id, {_NS.format(p='s.project', c='e.source')} AS source, {_NS.format(p='s.project', c='e.target')} AS target, s.project FROM ge e JOIN nn s ON s.id = e.source JOIN nn t ON t.id = e.target WHERE s.project = t.project",
-    "c2_link_packages": WITH + ", cl AS (SELECT 'package:' || regexp_replace(label, '_[0-9a-z]+$', '') AS key, id, coalesce(repo, '') AS project FROM gn WHERE kind = 'package' AND NOT regexp_matches(label, '\\s')), h AS (SELECT key, min(id) AS hub FROM cl GROUP BY 1 HAVING min(project) <> max(project)) SELECT key, hub AS a, id AS b FROM cl JOIN h USING (key) WHERE id <> hub",
+    "c2_link_packages": WITH + _PACKAGES + " SELECT x.key, x.id AS a, y.id AS b FROM cl x JOIN cl y ON x.key = y.key AND x.id < y.id AND x.project <> y.project",
+    "c2_package_classes": WITH + _PACKAGES + " SELECT x.key, x.id, x.project, count(*) AS n_links FROM cl x JOIN cl y ON x.key = y.key AND x.project <> y.project GROUP BY 1, 2, 3",
     "c3_link_references": WITH + _BIND + " SELECT b.ref_id, b.target, b.key FROM bound b JOIN gr g ON g.id = b.ref_id JOIN gn n ON n.id = b.target WHERE g.resolved_target IS NULL AND n.repo IS NOT NULL AND g.repo IS DISTINCT FROM n.repo",
     "m3_decay": WITH + _EV + f" SELECT node_id, round(round(coalesce(sum(CASE WHEN outcome = 'useful' THEN w WHEN outcome IS NOT NULL THEN -w END) FILTER (WHERE ts <= {NOW}), 0), 9), 6) AS score, count(*) FILTER (WHERE outcome = 'useful' AND ts <= {NOW}) AS useful, count(*) FILTER (WHERE outcome <> 'useful' AND ts <= {NOW}) AS negative, count(*) FILTER (WHERE ts > {NOW}) AS future FROM (SELECT *, pow(2.0, -(({NOW} - ts) / 86400.0) / 30.0) AS w FROM ev) GROUP BY 1",
     "m5_lessons": WITH + _EV + f" SELECT node_id, CAST(coalesce(sum(CASE WHEN outcome = 'useful' THEN 1 WHEN outcome IS NOT NULL THEN -1 END) FILTER (WHERE ts <= {NOW}), 0) AS DOUBLE) AS score FROM ev GROUP BY 1 ORDER BY score DESC, node_id LIMIT 25",

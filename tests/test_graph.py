@@ -137,16 +137,99 @@ def test_explore_agrees_with_a_queue(spark):
         assert (found.nodes, found.edges) == sequential_bfs(flat, ["n00", "n01"], 2, limit)
 
 
-def test_dfs_differs_under_a_budget(spark):
+def test_depth_first_goes_down_before_it_goes_on(spark):
+    """a-b, a-c, b-d, c-e: three nodes are a, b, c in breadth and a, b, d in depth."""
     g = graph(spark, 5, [call(0, 1), call(0, 2), call(1, 3), call(2, 4)])
+    o = traverse.Options(depth=3, direction="outgoing", limit=3)
+    bfs, dfs = traverse.explore(g, ["n00"], o), traverse.explore(g, ["n00"], o, "dfs")
+    assert bfs.nodes == ["n00", "n01", "n02"] and dfs.nodes == ["n00", "n01", "n03"]
+    assert "node_limit" in bfs.reasons and "node_limit" in dfs.reasons
+    assert bfs.edges == ["e000", "e001"] and dfs.edges == ["e000", "e002"]
     dfs = traverse.explore(g, ["n00"], traverse.Options(depth=3, direction="outgoing"), "dfs")
-    assert set(dfs.nodes) == {f"n{i:02d}" for i in range(5)}
+    assert dfs.nodes == ["n00", "n01", "n03", "n02", "n04"]
     with pytest.raises(ValueError):
         traverse.Options(depth=7)
     with pytest.raises(ValueError):
         traverse.impact(g, g.ids, relations=("contains",))
 
 
+def sequential_dfs(edges, seeds, depth, limit):
+    order, edge_order, at, opened = list(seeds), [], {s: 0 for s in seeds}, {}
+
+    def go(x, d):
+        if d >= depth or opened.get(x, d + 1) <= d:
+            return
+        opened[x] = d
+        for _, e, other in sorted([(0, e, b) for e, a, b in edges if a == x] + [(1, e, a) for e, a, b in edges if b == x]):
+            fresh = other not in at
+            if fresh:
+                if len(order) == limit:
+                    continue
+                order.append(other)
+            if e not in edge_order:
+                edge_order.append(e)
+            if fresh or d + 1 < at[other]:
+                at[other] = d + 1
+                go(other, d + 1)
+
+    for s in seeds:
+        go(s, 0)
+    return order, edge_order, at
+
+
+def test_explore_agrees_with_a_stack(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [call(rng.randrange(12), rng.randrange(12)) for _ in range(22)]
+    g = graph(spark, 12, edges)
+    flat = [(f"e{k:03d}", f"n{a:02d}", f"n{b:02d}") for k, (a, b, *_) in enumerate(edges)]
+    for limit, prefetch in ((6, 16), (100, 2)):
+        monkeypatch.setattr(traverse, "PREFETCH", prefetch)
+        found = traverse.explore(g, ["n00", "n01"], traverse.Options(depth=3, limit=limit), "dfs")
+        assert (found.nodes, found.edges, found.depths) == sequential_dfs(flat, ["n00", "n01"], 3, limit)
+
+
+def test_budget_charges_an_edge_with_its_end(spark):
+    """b is too large: neither it, its edges, nor what only it leads to is admitted."""
+    g = graph(spark, 5, [call(0, 1), call(0, 2), call(1, 3), call(2, 4)], {1: "x" * 2_000})
+    for order in ("bfs", "dfs"):
+        full = traverse.explore(g, ["n00"], traverse.Options(depth=3, direction="outgoing"), order)
+        found = traverse.explore(g, ["n00"], traverse.Options(depth=3, direction="outgoing"), order, token_budget=450)
+        assert found.nodes == ["n00", "n02", "n04"] and found.edges == ["e001", "e003"] and found.reasons == ["token_budget"]
+        assert found.bytes <= 1800 < full.bytes and found.bytes == traverse.EMPTY_BYTES + sum(len(x) + 1 for x in found.records.values())
+    with pytest.raises(ValueError):
+        traverse.explore(g, ["n01"], traverse.Options(), token_budget=100)
+
+
+def test_work_limit_and_unresolved(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "WORK_LIMIT", 4)
+    g = graph(spark, 7, [call(0, 1), call(0, 2), call(0, 3), call(1, 4), call(1, 5), call(2, 6)])
+    found = traverse.explore(g, ["n00"], traverse.Options(depth=2, direction="outgoing"))
+    assert found.nodes == ["n00", "n01", "n02", "n03"] and found.reasons == ["work_limit"]  # the second level is cut, so dropped
+    dfs = traverse.explore(g, ["n00"], traverse.Options(depth=2, direction="outgoing"), "dfs")
+    assert dfs.nodes == ["n00", "n01", "n04", "n02"] and dfs.reasons == ["work_limit"]  # n02 is reached, not expanded
+    monkeypatch.setattr(traverse, "WORK_LIMIT", 100)
+    refs = spark.createDataFrame([("r1", "n01", None, "calls", "one"), ("r2", "n00", None, "calls", "two"), ("r3", "n00", "n05", "calls", "bound"), ("r4", "n06", None, "calls", "far"), ("r5", "n00", None, "uses", "three")], "id string, source string, resolved_target string, relation string, label string")
+    found = traverse.explore(g, ["n00"], traverse.Options(depth=1, direction="outgoing"), refs=refs)
+    assert found.unresolved == ["r2", "r5", "r1"]
+    assert traverse.explore(g, ["n00"], traverse.Options(depth=1, direction="incoming"), refs=refs).unresolved == []
+
+
+def test_contexts_below_layers_of_provenance(spark):
+    text = '{"project": "one", "original_metadata": {"original_metadata": {"context": "call"}}}'
+    e = spark.createDataFrame([("e1", text, "custom"), ("e2", '{"context": ["import", "call"]}', "x"), ("e3", None, "imports")], "id string, metadata string, relation string")
+    got = {r["id"]: r["c"] for r in e.select("id", traverse.context_of().alias("c")).collect()}
+    call_, import_ = got["e1"][0], got["e3"][0]
+    assert got["e2"] == [import_, call_] and call_ != import_ and len(got["e1"]) == 1
+
+
+def test_package_links_join_all_pairs_of_different_projects(spark):
+    rows = [("1", "package", "package:npm:x", "A"), ("2", "package", "package:npm:x", "A"), ("3", "package", "package:npm:x", "B"), ("4", "package", "package:npm:x", "C"), ("4", "package", "package:npm:x", "C")]
+    rows += [("5", "package", "package:npm:lone", "A"), ("6", "package", "package:npm:lone", "A"), ("7", "package", "npm:x", "D"), ("8", "package", "package::x", "D"), ("9", "module", "package:npm:x", "D"), ("10", "package", "package:npm:x", None), ("11", "package", "package:a:b c", "A"), ("12", "package", "package:a:b c", "B")]
+    nodes = spark.createDataFrame(rows, "id string, kind string, binding_key string, project string")
+    assert {(r["a"], r["b"]) for r in compose.link_packages(nodes).collect()} == {("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4")}
+    assert {r["id"]: r["n_links"] for r in compose.package_classes(nodes).collect()} == {"1": 2, "2": 2, "3": 3, "4": 3}
+
+
 def test_shortest_path(spark):
     g = graph(spark, 5, [call(0, 1), call(1, 2), call(0, 3), call(3, 2), call(2, 4)])
     pairs = spark.createDataFrame([("n00", "n04"), ("n04", "n00"), ("n00", "n00")], "source string, target string")
@@ -236,9 +319,8 @@ def test_order_of_rows_does_not_matter(spark):
 
 
 def test_engine_and_budget(spark):
-    from meshline.engine import GraphEngine, benchmark, first_fit
+    from meshline.engine import GraphEngine, benchmark
 
-    assert first_fit([10, 50, 5], 20) == ([0, 2], 17)
     g = graph(spark, 4, [call(0, 1), call(1, 2), call(3, 1)], {0: "alpha", 1: "beta", 2: "gamma", 3: "delta"})
     e = GraphEngine(g)
     assert len(e.callers("beta").nodes) == 3 and len(e.callees("beta").nodes) == 2
