@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshline.functions.bitmaps import Bitmap
-from meshline.session import buckets_for
 from meshline.tables import current_rows
 
 SURVIVORS = "space int, ref_key string, generation bigint"
-RANGE_ROWS = 100_000
 SALTS = 8
 
 
 def live_parents(nodes: DataFrame, aliases: DataFrame, stubs: DataFrame) -> DataFrame:
-    """(space, key, since): every id (space 0) and binding key (space 1) that a live record answers to.
+    """(space, key, since): ids (space 0) and binding keys (space 1) that live records answer to, one row a claim.
 
     ``since`` is the lowest generation of the record; a record without any
-    generation is known from the start. Duplicate claims keep the earliest.
+    generation is known from the start.
     """
     cur = current_rows(nodes, "id", ["generation", "deleted", "binding_key"], {"since": F.min("generation")})
     live = cur.where(~F.coalesce("deleted", F.lit(False))).select("id", "binding_key", "since")
@@ -33,7 +29,7 @@ def live_parents(nodes: DataFrame, aliases: DataFrame, stubs: DataFrame) -> Data
     by_key = live.select(F.lit(1).alias("space"), F.col("binding_key").alias("key"), "since")
     names = aliases.where(F.col("binding_key").isNotNull()).select(F.col("node_id").alias("id"), F.col("binding_key").alias("key"))
     by_alias = names.distinct().join(live.select("id", "since"), "id").select(F.lit(1).alias("space"), "key", "since")
-    return by_id.unionByName(by_key.where("key is not null")).unionByName(by_alias).groupBy("space", "key").agg(F.min("since").alias("since"))
+    return by_id.unionByName(by_key.where("key is not null")).unionByName(by_alias)
 
 
 def reference_values(refs: DataFrame) -> DataFrame:
@@ -55,53 +51,54 @@ def reference_values(refs: DataFrame) -> DataFrame:
     )
 
 
-def _surviving(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One key range: encode its keys, AND-NOT the references of each period with the parents known by then."""
-    keys, codes = np.unique((pdf["space"].astype(str) + ":" + pdf["key"]).to_numpy(dtype=object).astype(str), return_inverse=True)
-    period, parent = pdf["generation"].to_numpy(), pdf["parent"].to_numpy()
-    known, out = Bitmap(), []
-    p_codes, p_period = codes[parent], period[parent]
+def _surviving(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One key range: AND-NOT the references of each period with the parents known by then, and decode what is left.
+
+    A row has a key, its parents' earliest period (null without one) and the
+    periods that refer to it; its place in the range is the key's code.
+    """
+    since, asked = rows.column("since"), rows.column("asked")
+    parents = np.flatnonzero(~np.asarray(since.is_null()))
+    p_period = since.drop_null().to_numpy()
     order = np.argsort(p_period, kind="stable")
-    p_codes, p_period, at = p_codes[order], p_period[order], 0
-    r_codes, r_period = codes[~parent], period[~parent]
+    parents, p_period = parents[order], p_period[order]
+    r_period = asked.flatten().to_numpy()
+    r_codes = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
+    known, at, codes, periods = Bitmap(), 0, [], []
     for t in np.unique(r_period):
-        upto = np.searchsorted(p_period, t, side="right")
+        upto = int(np.searchsorted(p_period, t, side="right"))
         if upto > at:
-            known, at = known | Bitmap.of(p_codes[at:upto]), upto
+            known, at = known | Bitmap.of(parents[at:upto]), upto
         left = Bitmap.of(r_codes[r_period == t]).and_not(known).codes()
-        if len(left):
-            out.append(pd.DataFrame({"coded": keys[left], "generation": t}))
-    if not out:
-        return pd.DataFrame({"space": pd.Series(dtype="int32"), "ref_key": pd.Series(dtype=object), "generation": pd.Series(dtype="int64")})
-    got = pd.concat(out)
-    return pd.DataFrame({"space": got["coded"].str[0].astype("int32"), "ref_key": got["coded"].str[2:].astype(object), "generation": got["generation"].astype("int64")})
+        codes.append(left)
+        periods.append(np.full(len(left), t))
+    found = pa.array(np.concatenate(codes).astype(np.int64) if codes else np.empty(0, np.int64))
+    generation = pa.array(np.concatenate(periods).astype(np.int64) if periods else np.empty(0, np.int64))
+    return pa.RecordBatch.from_arrays([rows.column("space").take(found), rows.column("key").take(found), generation], names=["space", "ref_key", "generation"])
 
 
 def orphan_references(refs: DataFrame, nodes: DataFrame, aliases: DataFrame, stubs: DataFrame) -> DataFrame:
     """(ref_id, field, ref_key, indexed_at, generation): every value that no live record known to its ref answers to.
 
-    Keys are cut into hashed ranges, one a partition, of about RANGE_ROWS rows
-    at any size. Within a range they are dictionary-encoded as dense integers, one compressed bitmap per period (index generation) is
-    built for references and parents, ``reference AND-NOT parents so far``
-    leaves the orphans, and their bits are decoded. Only distinct (key, period)
-    rows are shuffled to the ranges, so a key held by a third of all refs counts
-    once per period; the surviving keys, salted, then select the refs by a semi
-    join, so that the refs of a hot key go to SALTS tasks.
+    References and parents are brought together by key: a row a key, with the
+    earliest period of a parent and the set of periods (index generations) that
+    refer to it. Both combine on the map side, so a key held by a third of all
+    refs is one short row a task. Any batch of such rows is a key range of its
+    own: its keys are dictionary-encoded as dense integers, one compressed bitmap
+    per period is built for references and parents, ``reference AND-NOT parents
+    so far`` leaves the orphans, and their bits are decoded. The surviving keys,
+    salted, then select the refs by a semi join, so that the refs of a hot key go
+    to SALTS tasks.
 
     Empty tables: without refs nothing comes out, without parents every value
     does. Keys are opaque strings, compared exactly; the empty string is a key.
     """
     values = reference_values(refs)
-    ranges = buckets_for(3 * refs.count() + 2 * nodes.count(), RANGE_ROWS)
-    asked = values.select("space", F.col("ref_key").alias("key"), "generation").distinct().withColumn("parent", F.lit(False))
-    known = live_parents(nodes, aliases, stubs).select("space", "key", F.col("since").alias("generation")).withColumn("parent", F.lit(True))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = list(batches)
-        if whole:
-            yield _surviving(pd.concat(whole, ignore_index=True))
-
-    left = asked.unionByName(known).repartition(ranges, "space", "key").mapInPandas(solve, SURVIVORS)
+    nothing = F.lit(None).cast("bigint")
+    asked = values.select("space", F.col("ref_key").alias("key"), "generation", nothing.alias("since"))
+    known = live_parents(nodes, aliases, stubs).select("space", "key", nothing.alias("generation"), "since")
+    by_key = asked.unionByName(known).groupBy("space", "key").agg(F.min("since").alias("since"), F.collect_set("generation").alias("asked"))
+    left = by_key.where(F.size("asked") > 0).mapInArrow(lambda batches: map(_surviving, batches), SURVIVORS)
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = values.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))
     return salted.join(left, ["space", "ref_key", "generation", "salt"], "left_semi").select("ref_id", "field", "ref_key", "indexed_at", "generation")
