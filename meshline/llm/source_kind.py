@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,20 +78,33 @@ def text_marks(text: str) -> set[str]:
 
 def masked(text: str) -> tuple[list[str], str]:
     """Tokens with identifiers, numbers and strings masked, and a digest of the unmasked ones; comments count for neither."""
-    toks, plain = [], hashlib.sha256()
-    for m in _MASK.finditer(text):
-        kind, value = m.lastgroup, m.group()
-        if kind == "C":
-            continue
-        plain.update(value.encode("utf-8", "replace") + b"\0")
-        toks.append(value if kind == "O" or kind == "I" and value in _ALL_WORDS else kind)
-    return toks, plain.hexdigest()
+    found = [(m.lastgroup, m.group()) for m in _MASK.finditer(text)]
+    plain = "\0".join(v for k, v in found if k != "C")
+    toks = [v if k == "O" or k == "I" and v in _ALL_WORDS else k for k, v in found if k != "C"]
+    return toks, hashlib.sha256(plain.encode("utf-8", "replace")).hexdigest()
+
+
+class _TokenCodes(dict):
+    """64-bit code of each masked token, kept by a worker: words of the languages, single characters and masks."""
+
+    def __missing__(self, tok: str) -> int:
+        self[tok] = xxhash.xxh64_intdigest(tok.encode("utf-8", "replace"))
+        return self[tok]
+
+
+_TOKEN_CODES = _TokenCodes()
 
 
 def shingle_set(toks: list[str]) -> np.ndarray:
-    """Sorted 64-bit hashes of the runs of SHINGLE tokens; a shorter text is one run."""
-    runs = {" ".join(toks[i : i + SHINGLE]) for i in range(max(1, len(toks) - SHINGLE + 1))}
-    return np.sort(np.fromiter((int.from_bytes(hashlib.blake2b(r.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1 for r in runs), np.int64, len(runs)))
+    """Sorted 32-bit hashes of the runs of SHINGLE tokens; a shorter text is one run."""
+    codes = np.array([_TOKEN_CODES[t] for t in toks], np.uint64)
+    n = max(1, len(codes) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        part = codes[k : k + n]
+        h[: len(part)] = (h[: len(part)] ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 _PERMS = np.random.default_rng(11).integers(1, 2**62, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -98,14 +112,14 @@ _PERMS = np.random.default_rng(11).integers(1, 2**62, (2, BANDS * ROWS), dtype=n
 
 def band_keys(shingles: np.ndarray) -> list[int]:
     """One hash a band of ROWS MinHash values."""
-    x = shingles.astype(np.uint64)[None, :]
+    x = shingles.astype(np.int64).view(np.uint64)[None, :]
     h = (x ^ (x >> np.uint64(31))) * _PERMS[0][:, None] + _PERMS[1][:, None]
     h ^= h >> np.uint64(29)
     least = (h * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1).reshape(BANDS, ROWS)
     return [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in least]
 
 
-FEATURES = "path string, repo string, lang string, marks array<string>, code_id string, set_id string, shingles array<bigint>, literal double"
+FEATURES = "path string, repo string, lang string, marks array<string>, code_id string, set_id string, shingles array<int>, literal double"
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -130,56 +144,77 @@ def features(files: DataFrame) -> DataFrame:
     return cur.select("path", "repo", "content").mapInPandas(run, FEATURES)
 
 
-def _spanning(ids: list[str], sets: list[frozenset], left: int) -> list[tuple[str, str]]:
-    """Links that join the similar sets of one block, or of two (cut at ``left``), verified by their Jaccard similarity.
+def _common(sets: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets in ``left`` with those in ``right``."""
+    flat, size = sets.flatten().to_numpy(zero_copy_only=False), np.diff(sets.offsets.to_numpy())
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(size)), size), count[code] > 1
+    row, (names, code) = row[shared], np.unique(code[shared], return_inverse=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(names), 8_192):
+        here = (code >= lo) & (code < lo + 8_192)
+        m = np.zeros((len(size), min(8_192, len(names) - lo)), np.float32)
+        m[row[here], code[here] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+class _Spanning:
+    """Links that join similar sets, over all the groups that one task sees.
 
-    A pair is only compared while its ends are in different components, so a
-    dense family costs about one comparison a member, and no link between
-    components is lost.
+    A group is one block of sets, or two of which the first has side 0. Pairs
+    are compared only where their ends are in different components so far, so a
+    group whose sets earlier groups have joined costs nothing, and no link
+    between components is lost.
     """
-    two = left < len(ids)
-    root = list(range(len(ids)))
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
+    def __init__(self):
+        self.root: dict[str, str] = {}
+
+    def find(self, i: str) -> str:
+        root = self.root
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
             i = root[i]
         return i
 
-    out = []
-    for j in range(left if two else 1, len(ids)):
-        b = sets[j]
-        rj = find(j)
-        for i in range(left if two else j):
-            ri = find(i)
-            if ri == rj:
-                continue
-            a = sets[i]
-            if len(a) < SIMILARITY * len(b) or len(b) < SIMILARITY * len(a):
-                continue
-            both = len(a & b)
-            if both >= SIMILARITY * (len(a) + len(b) - both):
-                root[ri] = rj
-                out.append((ids[i], ids[j]))
-    return out
+    def links(self, group: pa.RecordBatch) -> list[tuple[str, str]]:
+        ids, side = group.column("set_id").to_pylist(), group.column("side").to_numpy(zero_copy_only=False)
+        roots = [self.find(i) for i in ids]
+        if len(set(roots)) == 1:
+            return []
+        sets = group.column("shingles")
+        size = np.diff(sets.offsets.to_numpy())
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+        both = _common(sets, left, right)
+        i, j = np.nonzero(both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both))
+        out = []
+        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            x, y = self.find(ids[a]), self.find(ids[b])
+            if x != y:
+                self.root[x] = y
+                out.append((ids[a], ids[b]))
+        return out
 
 
 def _spanning_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of sorted rows (group..., side, set_id, shingles); a group ends where the next begins."""
-    key, ids, sets, left = None, [], [], 0
+    task, held, key = _Spanning(), [], None
+    whole = lambda parts: parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+    rows = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["a", "b"])
     for b in batches:
-        *group, sides, names, shingles = (c.to_pylist() for c in b.columns)
+        keys = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:-3]], axis=1).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         out: list[tuple[str, str]] = []
-        for k, side, name, sh in zip(zip(*group, strict=True), sides, names, shingles, strict=True):
-            if k != key:
-                out += _spanning(ids, sets, left)
-                key, ids, sets, left = k, [], [], 0
-            ids.append(name)
-            sets.append(frozenset(sh))
-            left += side == 0
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["a", "b"])
-    out = _spanning(ids, sets, left)
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["a", "b"])
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and keys[lo].tolist() != key:
+                out += task.links(whole(held))
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            key = keys[lo].tolist()
+        yield rows(out)
+    if held:
+        yield rows(task.links(whole(held)))
 
 
 def family_links(sets: DataFrame) -> DataFrame:
@@ -193,7 +228,7 @@ def family_links(sets: DataFrame) -> DataFrame:
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s, k, key, len(sh)) for s, sh in zip(b["set_id"], b["shingles"], strict=True) for k, key in enumerate(band_keys(np.asarray(sh, np.int64)))]
+            rows = [(s, k, key, len(sh)) for s, sh in zip(b["set_id"], b["shingles"], strict=True) for k, key in enumerate(band_keys(np.asarray(sh)))]
             yield pd.DataFrame(rows, columns=["set_id", "band", "key", "size"])
 
     step = -np.log(SIMILARITY)
