@@ -11,7 +11,7 @@ OPEN = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
 CLOSE = {v: k for k, v in OPEN.items()}
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     at: int
@@ -93,6 +93,10 @@ def lex(text: str, lang: str) -> list[Token]:
     at, n, nl, depth = 0, len(text), False, 0
     indents, fresh = [0], True
     while at < n:
+        if py and fresh and text[at] in "<=>|" and (m := pattern.match(text, at)) and m.lastgroup == CONFLICT:
+            out.append(Token(CONFLICT, at))  # a line of its own, which neither opens nor closes a block
+            at = m.end() + 1
+            continue
         if py and fresh and depth == 0:
             m = re.compile(r"[ \t\f]*").match(text, at)
             rest = text[m.end() : m.end() + 1]
@@ -143,7 +147,7 @@ def lex(text: str, lang: str) -> list[Token]:
         if kind == "line":
             if py:
                 fresh = depth == 0
-                if depth == 0 and out and out[-1].kind not in ("NEWLINE", "INDENT", "DEDENT"):
+                if depth == 0 and out and out[-1].kind not in ("NEWLINE", "INDENT", "DEDENT", CONFLICT):
                     out.append(Token("NEWLINE", start))
             elif not go or out and out[-1].kind in _GO_LINE_END:
                 nl = True
@@ -158,7 +162,7 @@ def lex(text: str, lang: str) -> list[Token]:
         out.append(Token(kind, start, nl))
         nl = False
     if py:
-        if out and out[-1].kind not in ("NEWLINE", "DEDENT"):
+        if out and out[-1].kind not in ("NEWLINE", "DEDENT", CONFLICT):
             out.append(Token("NEWLINE", n))
         out += [Token("DEDENT", n) for _ in indents[1:]]
     return out

@@ -6,6 +6,7 @@ import ast
 import heapq
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from meshline.llm import grammars, lexers
 from meshline.tables import current_rows
 
-CAP = 3
+CAP = 4
 WINDOW = 48
 MEMO = 400_000
+NESTING = 10_000_000
 FILES_PER_TASK = 20_000
 # Extensions of the languages with a grammar, and interpreter names of files without extension.
 EXTENSIONS = {"py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "java": "java", "go": "go", "rs": "rust", "json": "json"}
@@ -63,7 +65,12 @@ class ChartParser:
     keeps charts near linear. Where that fails, the repair chart relaxes item
     costs in order until the cheapest complete parse, or a cost above CAP, is
     reached. It runs over the stretch between the last list boundary of the
-    valid prefix and the first boundary from which the rest is valid.
+    valid prefix and the first boundary from which the rest is valid, with edits
+    up to WINDOW tokens from the failure; merge markers are tokens like others.
+    Text whose tokens need more than CAP edits whatever stands around them, as
+    that of another language does, gets CAP + 1 from those places alone.
+    Brackets without partner are repaired first, by the interval chart of the
+    bracket language.
     """
 
     def __init__(self, lang: str):
@@ -184,12 +191,24 @@ class ChartParser:
             got = self.known[key] = self.chart(self.seqs[seq_id], start)[0]
         return got
 
+    def _weight(self, elem) -> int:
+        """Tokens that go when an element is deleted: one, or a group's brackets and all inside, counted up to CAP + 1."""
+        if not isinstance(elem[0], int):
+            return 1
+        total, todo = 0, [elem]
+        while todo and total <= CAP:
+            e = todo.pop()
+            total += 2 if isinstance(e[0], int) else 1
+            if isinstance(e[0], int):
+                todo += self.seqs[self.groups[e[0]].seq][: CAP + 1]
+        return min(total, CAP + 1)
+
     def _scan_cost(self, elem, sym) -> int:
         """Cost of reading ``elem`` as ``sym``: 0, the group's own repair, or a substitution."""
         if isinstance(sym, tuple) and isinstance(elem[0], int):
             grp = self.groups[elem[0]]
             if grp.bracket != sym[0]:
-                return 1 if not self.seqs[grp.seq] else CAP + 1
+                return 2 if not self.seqs[grp.seq] else CAP + 1
             if self.valid(grp.seq, sym[1]):
                 return 0
             return self.repair(grp.seq, sym[1])[0] if sym[1] in self.asked.get(elem[0], ()) else CAP + 1
@@ -197,6 +216,37 @@ class ChartParser:
             return 0
         return 1 if not isinstance(elem[0], int) else CAP + 1
 
+    def _needed(self, seq: tuple, start: int) -> tuple[list[int], list[int]]:
+        """Edits that the tokens before, and from, each place need at least, whatever stands around them.
+
+        Two kinds that no derivation puts side by side need an edit at one of
+        them or between them, and a kind that the grammar lacks needs one itself;
+        of such places as share no token each needs its own edit.
+        """
+        beside, words = self.g.adjacent[start], ("ID", "NUM", "STR", "LIFE", "(", "[", "{", "INDENT")
+        kinds = [self._kind(e) for e in seq]
+        alone = [k in (lexers.BAD, lexers.CONFLICT) for k in kinds]
+        word = [not k in words for k in kinds]
+
+        def apart(i: int) -> bool:
+            x, y = kinds[i], kinds[i + 1]
+            if (x, y) in beside:
+                return False
+            return not (word[i] and ("ANYWORD", y) in beside or word[i + 1] and (x, "ANYWORD") in beside or word[i] and word[i + 1] and ("ANYWORD", "ANYWORD") in beside)
+
+        n = len(seq)
+        before, after, used = [0] * (n + 1), [0] * (n + 1), -1
+        for i in range(n):
+            hit = alone[i] or i - 1 > used and apart(i - 1)
+            before[i + 1] = before[i] + hit
+            used = i if hit else used
+        used = n
+        for i in range(n - 1, -1, -1):
+            hit = alone[i] or i + 1 < used and apart(i)
+            after[i] = after[i + 1] + hit
+            used = i if hit else used
+        return before, after
+
     def repair(self, seq_id: int, start: int) -> tuple[int, int]:
         """(minimum edit cost, token of the first edit), the cost limited to CAP + 1."""
         seq = self.seqs[seq_id]
@@ -207,27 +257,34 @@ class ChartParser:
         if key in self.costs:
             return self.costs[key], fail
         self.costs[key] = CAP + 1
-        high = len(seq)
-        for r in range(fail + 1, min(len(seq), fail + WINDOW)):
-            if low and self.chart(seq[r:], start)[0]:
-                high = r
-                break
-        part = seq[low:high] if low else seq
-        cost = self._cheapest(part, start) if len(part) <= 3 * WINDOW else CAP + 1
-        self.costs[key] = cost
-        return cost, fail
-
-    def _cheapest(self, seq: tuple, start: int) -> int:
-        """Cost of the cheapest parse with edits, by relaxing items in order of cost and position."""
+        if self._needed(seq, start)[1][0] <= CAP:
+            high, kinds = len(seq), [self._kind(e) for e in seq]
+            bad = max((i for i in range(max(0, fail), min(len(seq), fail + WINDOW)) if kinds[i] in (lexers.BAD, lexers.CONFLICT)), default=max(0, fail))
+            for r in range(bad + 1, min(len(seq), fail + WINDOW)):
+                if low and self.chart(seq[r:], start)[0]:
+                    high = r
+                    break
+            part, off = (seq[low:high], low) if low else (seq, 0)
+            self.costs[key] = self._cheapest(part, start, max(0, fail - off - WINDOW), bad - off + WINDOW)
+        return self.costs[key], fail
+
+    def _cheapest(self, seq: tuple, start: int, lo: int, hi: int) -> int:
+        """Cost of the cheapest parse with edits at the places from ``lo`` to ``hi``, by relaxing items in order of cost.
+
+        An item is dropped if its cost and the edits that the tokens before and
+        after it need come above CAP.
+        """
         g, n = self.g, len(seq)
         nxt, lhs = g.next, g.lhs
+        kinds = [self._kind(e) for e in seq] + [None]
+        before, after = self._needed(seq, start)
         best: dict[tuple[int, int, int], int] = {}
         wait: list[dict] = [{} for _ in range(n + 1)]
         ended: list[dict] = [{} for _ in range(n + 1)]
         heap: list = []
 
         def push(i: int, s: int, o: int, c: int) -> None:
-            if c <= CAP and c < best.get((i, s, o), CAP + 1):
+            if c + before[o] + after[i] <= CAP and c < best.get((i, s, o), CAP + 1):
                 best[i, s, o] = c
                 heapq.heappush(heap, (c, i, s, o))
 
@@ -242,32 +299,42 @@ class ChartParser:
             sym = nxt[s]
             if sym is None:
                 left = lhs[s]
-                if o == 0 and left == start and i == n:
-                    return c
+                if o == 0 and left == start:
+                    if i == n:
+                        return c
+                    if lo <= i <= hi:  # what is left over at the end is deleted
+                        push(i + 1, s, o, c + self._weight(seq[i]))
                 span = ended[o].setdefault(left, {})
                 if c < span.get(i, CAP + 1):
                     span[i] = c
                     for (s2, o2), c2 in list(wait[o].get(left, {}).items()):
                         push(i, s2 + 1, o2, c2 + c)
                 continue
-            if i < n:
-                push(i + 1, s, o, c + 1)
+            edits = lo <= i <= hi
+            if i < n and edits:
+                push(i + 1, s, o, c + self._weight(seq[i]))
             if isinstance(sym, int):
                 w = wait[i].setdefault(sym, {})
                 if c < w.get((s, o), CAP + 1):
                     fresh = not w
                     w[s, o] = c
                     if fresh:
-                        for p in g.starts[sym]:
+                        for p in g.starts[sym] if edits else g.predicted(sym, kinds[i]):
                             push(i, p, i, 0)
                     for j, cost in ended[i].get(sym, {}).items():
                         push(j, s + 1, o, c + cost)
             elif sym in grammars.GUARDS:
-                push(i, s + 1, o, c + (not self._guard(sym, seq, i)))
+                if self._guard(sym, seq, i):
+                    push(i, s + 1, o, c)
+                elif edits:
+                    push(i, s + 1, o, c + 1)
             else:
-                push(i, s + 1, o, c + 1)
+                if edits:
+                    push(i, s + 1, o, c + 1)
                 if i < n:
-                    push(i + 1, s + 1, o, c + self._scan_cost(seq[i], sym))
+                    cost = self._scan_cost(seq[i], sym)
+                    if not cost or edits:
+                        push(i + 1, s + 1, o, c + cost)
         return CAP + 1
 
     def _trim(self) -> None:
@@ -279,14 +346,12 @@ class ChartParser:
         """The repair cost of a whole text with the place and kind of its first edit; cost 0 means that it parses."""
         self._trim()
         toks = lexers.lex(text, self.lang)
-        if any(t.kind == lexers.CONFLICT for t in toks):
-            first = next(t.at for t in toks if t.kind == lexers.CONFLICT)
-            return Verdict(sum(t.kind == lexers.CONFLICT for t in toks), first, "conflict")
+        marker = next((t.at for t in toks if t.kind == lexers.CONFLICT), None)
         residue, tree = self._match(toks)
         if residue:
             cost = max(1, dyck_cost([t.kind for t in residue]))  # pairs that cross one another leave a balanced residue
             at = residue[0].at
-            return Verdict(cost, at, self._cut_or_local(text, residue))
+            return Verdict(cost, at, "conflict" if marker is not None else self._cut_or_local(text, residue))
         elems, places = tree
         root = self._intern(elems)
         start = self.g.ids["Start"]
@@ -294,6 +359,8 @@ class ChartParser:
             return Verdict(0, -1, "")
         cost, fail = self.repair(root, start)
         at = places[min(fail, len(places) - 1)] if places else 0
+        if marker is not None:
+            return Verdict(cost, marker, "conflict")
         if cost > CAP:
             return Verdict(cost, at, "mismatch")
         return Verdict(cost, at, "truncation" if fail >= len(elems) - 1 and not text.endswith("\n") else "local")
@@ -375,10 +442,9 @@ def verdict(path: str | None, text: str | None) -> Verdict | None:
     lang = language_of(path, text)
     if text is None or lang is None:
         return None
-    try:
-        got = parser(lang).check(text.replace("\r\n", "\n").replace("\r", "\n"))
-    except RecursionError:
-        return Verdict(0, -1, "too deep")
+    if sys.getrecursionlimit() < NESTING:
+        sys.setrecursionlimit(NESTING)
+    got = parser(lang).check(text.replace("\r\n", "\n").replace("\r", "\n"))
     if got.cost and _exact(text, lang):
         return Verdict(0, -1, "")
     return got
@@ -395,7 +461,8 @@ def repairs(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
     language) or local. A file without content has cost 1 and reason
     ``reported`` if a diagnostic made for its current hash says that it could
     not be parsed, else a null cost. An empty text is valid where the language
-    allows it. Texts nested beyond the interpreter's depth are not flagged.
+    allows it. Calls between Python functions take no machine stack, so depth of
+    nesting is bound by memory alone.
     """
     cur = current_rows(files, "path", ["generation", "repo", "hash", "content"])
     code, message = F.lower("code"), F.coalesce("message", F.lit(""))

@@ -152,6 +152,37 @@ def test_exact_leaks(spark):
     assert want <= set(near) and all(near[p] == 1 for p in want)
 
 
+def test_needed_edits_bound_the_cost_from_below():
+    """No valid sequence needs an edit, and no repaired one fewer than its places tell."""
+    js = syntax.parser("javascript")
+    for text in ("f(a);\n", "const x = {a: 1, b: [2, 3]};\nclass A { m() { return 1; } }\n"):
+        assert js.check(text).cost == 0
+        seq = js.seqs[-1]
+        assert js._needed(seq, js.g.ids["Start"])[1][0] == 0
+    wrong = "from a import b\ndef f(x):\n    return x\n\nclass A:\n    y = 1\n"
+    assert js.check(wrong).cost == syntax.CAP + 1 and syntax.parser("python").check(wrong).cost == 0
+
+
+def test_merge_markers_cost_one_edit_each():
+    py = syntax.parser("python")
+    text = "def f(x):\n    a = 1\n<<<<<<< ours\n    b = 2\n=======\n    b = 3\n>>>>>>> theirs\n    return a\n"
+    got = py.check(text)
+    assert (got.cost, got.reason, got.at) == (3, "conflict", text.index("<<<"))
+    go = syntax.parser("go").check("package a\n\nfunc F() int {\n<<<<<<< a\n\treturn 1\n=======\n\treturn 2\n>>>>>>> b\n}\n")
+    assert (go.cost, go.reason) == (3, "conflict")
+
+
+def test_deep_nesting_is_no_trouble():
+    deep = "[" * 30_000 + "1" + "]" * 30_000
+    assert syntax.verdict("a.json", deep).cost == 0 and syntax.verdict("a.json", deep[:-1] + ",]").cost > 0
+
+
+def test_one_missing_comma_in_a_long_list():
+    text = "{" + ", ".join(f'"k{i}": {i}' for i in range(400)) + "}"
+    assert syntax.verdict("a.json", text).cost == 0
+    assert syntax.verdict("a.json", text.replace('"k200": 200,', '"k200": 200')).cost == 1
+
+
 def test_planted_rewordings(spark):
     """Item passages with a sixth of the words replaced and one dropped, inside other text: nearly all come out, and little else."""
     rng = random.Random(8)
