@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("meshline.operators.queries", "meshline.plans.metrics", "meshline.plans.navigation", "meshline.plans.analysis", "meshline.plans.exchange", "meshline.plans.reports")
+MODULES = ("meshline.operators.queries", "meshline.plans.metrics", "meshline.plans.navigation", "meshline.plans.analysis", "meshline.plans.exchange", "meshline.plans.reports", "meshline.plans.lookups")
 
 
 def queries() -> dict:

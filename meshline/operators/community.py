@@ -1,4 +1,4 @@
-"""Communities: Louvain and Leiden kernels, a distributed Louvain, and measures of any given partition."""
+"""Communities: Louvain and Leiden kernels, and measures of any given partition."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from meshline.operators import metrics as m
 from meshline.operators.components import connected_components
 from meshline.operators.graph import Graph
-from meshline.session import cut
+from meshline.session import cut, positions
 
-MOST_HUBS = 20_000
 EPSILON = 1e-14
 
 
@@ -44,8 +43,7 @@ def connected_split(sym: DataFrame, part: DataFrame) -> DataFrame:
 def canonical(part: DataFrame) -> DataFrame:
     """(id, community): communities numbered from 0 by their smallest member id."""
     least = part.groupBy("community").agg(F.min("id").alias("first"))
-    spans = least.select("first").orderBy("first").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["first", "n"])
-    return part.join(least, "community").join(spans, "first").select("id", F.col("n").alias("community"))
+    return part.join(least, "community").join(positions(least, "first", "n"), "first").select("id", F.col("n").alias("community"))
 
 
 def labels(g: Graph, part: DataFrame, degree: DataFrame) -> DataFrame:
@@ -228,46 +226,14 @@ def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, pas
     return linked.unionByName(g.ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("community")))
 
 
-def parallel_louvain(sym: DataFrame, total: float, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
-    """(id, community) by synchronous moves: a hashed half of the nodes moves in each round, then communities are coarsened.
-
-    Gains need the weights from each node to each neighbouring community and the
-    communities' totals, two aggregates and two joins a round.
-    """
-    level = sym
-    where = cut(sym.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
-    for _ in range(levels):
-        strength = cut(level.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")))
-        comm = cut(strength.select("id", F.col("id").alias("c")))
-        for k in range(rounds):
-            tot = comm.join(strength, "id").groupBy("c").agg(F.sum("k").alias("t"))
-            near = level.where("a <> b").join(comm.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("weight").alias("w"))
-            seen = near.unionByName(comm.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
-            own = comm.select("id", F.col("c").alias("old"))
-            scored = seen.join(tot, "c").join(strength, "id").join(own, "id")
-            gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / F.lit(total)
-            best = scored.withColumn("gain", gain).groupBy("id", "old").agg(F.max(F.struct("gain", (F.col("c") == F.col("old")).alias("stay"), "c")).alias("b"))
-            turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
-            nxt = cut(best.select("id", "old", F.when(turn, F.col("b.c")).otherwise(F.col("old")).alias("c")))
-            moved = nxt.where("c <> old").count()
-            comm = nxt.select("id", "c")
-            if not moved and k:
-                break
-        where = cut(where.join(comm.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
-        coarse = cut(level.join(comm.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(comm.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
-        if coarse.select("a").distinct().count() == strength.count():
-            break
-        level = coarse
-    return connected_split(sym, where)
-
-
 def exclude_hubs(g: Graph, sym: DataFrame, percentile: float, algorithm: str = "louvain") -> DataFrame:
     """(id, community): communities found without the hubs, which then join the majority of their assigned neighbours.
 
-    Up to MOST_HUBS hubs are placed one after another in the order of their ids,
-    since each may be a neighbour of the next; more hubs than that are placed at
-    once, by their neighbours that are no hubs. Ties go to the smallest
-    community, a hub without assigned neighbours is its own.
+    Hubs are placed in the order of their ids, since each may be a neighbour of
+    the next: a round places all hubs whose neighbouring hubs of lower id are
+    placed, so the rounds are as many as the longest such chain, and nothing is
+    collected. Ties go to the smallest community, a hub without assigned
+    neighbours is its own.
     """
     deg = cut(m.degree(g))
     above = hub_threshold(deg, percentile)
@@ -276,27 +242,22 @@ def exclude_hubs(g: Graph, sym: DataFrame, percentile: float, algorithm: str = "
     hubs = cut(deg.where(F.col("degree") > above).select("id"))
     rest = Graph(g.nodes.join(hubs, "id", "left_anti"), g.edges.join(hubs.withColumnRenamed("id", "source"), "source", "left_anti").join(hubs.withColumnRenamed("id", "target"), "target", "left_anti").select(*g.edges.columns))
     part = cut(partition(rest, algorithm))
-    near = sym.where("weight > 0 and a <> b").join(hubs.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b").distinct()
-    votes = near.join(part.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
-    if hubs.count() > MOST_HUBS:
-        top = votes.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("neg"), "community")).alias("b"))
-        return part.unionByName(hubs.join(top, "id", "left").select("id", F.coalesce("b.community", "id").alias("community")))
-    among = near.join(hubs.withColumnRenamed("id", "b"), "b", "left_semi")
-    tally: dict[str, dict[str, int]] = {r["id"]: {} for r in hubs.collect()}
-    best = votes.groupBy("a").agg(F.max("n").alias("most"))
-    # a hub's own choice needs only communities within reach of its top count by the number of other hubs
-    for r in votes.join(best, "a").where(F.col("n") >= F.col("most") - F.lit(len(tally))).collect():
-        tally[r["a"]][r["community"]] = r["n"]
-    links: dict[str, list[str]] = defaultdict(list)
-    for r in among.collect():
-        links[r["a"]].append(r["b"])
-    placed: dict[str, str] = {}
-    for h in sorted(tally):
-        for o in links[h]:
-            if o in placed:
-                tally[h][placed[o]] = tally[h].get(placed[o], 0) + 1
-        placed[h] = min(tally[h], key=lambda c: (-tally[h][c], c)) if tally[h] else h
-    return part.unionByName(g.nodes.sparkSession.createDataFrame(sorted(placed.items()), "id string, community string"))
+    near = cut(sym.where("weight > 0 and a <> b").join(hubs.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b").distinct())
+    votes = cut(near.join(part.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n")))
+    among = cut(near.join(hubs.withColumnRenamed("id", "b"), "b", "left_semi"))
+    placed, waiting = None, hubs
+    while waiting.limit(1).count():
+        blocked = among.where("b < a").join(waiting.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        ready = waiting.join(blocked, "id", "left_anti")
+        told = votes.join(ready.select(F.col("id").alias("a")), "a", "left_semi")
+        if placed is not None:
+            lower = among.where("b < a").join(placed.withColumnRenamed("id", "b"), "b").join(ready.select(F.col("id").alias("a")), "a", "left_semi")
+            told = told.unionByName(lower.groupBy("a", "community").agg(F.count("*").alias("n"))).groupBy("a", "community").agg(F.sum("n").alias("n"))
+        top = told.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("neg"), "community")).alias("b"))
+        now = ready.join(top, "id", "left").select("id", F.coalesce("b.community", "id").alias("community"))
+        placed = cut(now if placed is None else placed.unionByName(now))
+        waiting = cut(waiting.join(placed, "id", "left_anti"))
+    return part if placed is None else part.unionByName(placed)
 
 
 def split_again(g: Graph, part: DataFrame, most_size: int | None = None, least_cohesion: float | None = None, resolution: float = 1.0) -> DataFrame:

@@ -209,3 +209,25 @@ def topics(g: Graph, keep: int = 8, of: int = 64) -> DataFrame:
     clean = top.withColumn("label", F.trim(F.regexp_replace("label", "[^\\p{L}\\p{N}_ .-]+", " "))).where("label <> ''")
     first = clean.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("label")).orderBy(F.desc("degree"), "id"))).where("n = 1")
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "id")).cast("bigint")).where(F.col("rank") <= keep).select("rank", "label")
+
+
+def snapshot_sizes(g: Graph, refs: DataFrame) -> DataFrame:
+    """(record, n_rows, n_bytes): rows of each table of a snapshot and the bytes of their names and metadata."""
+    def one(record: str, df: DataFrame, *columns: str) -> DataFrame:
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
+        return df.agg(F.lit(record).alias("record"), F.count("*").alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes"))
+
+    nodes, edges = one("nodes", g.nodes, "id", "label", "qualified_name", "file", "metadata"), one("edges", g.edges, "id", "source", "target", "relation", "metadata")
+    return nodes.unionByName(edges).unionByName(one("refs", refs, "id", "source", "label", "relation"))
+
+
+def bounded_snapshot(g: Graph, refs: DataFrame, most_nodes: int, most_edges: int, most_refs: int, most_bytes: int) -> tuple[Graph, DataFrame]:
+    """The graph and its refs, after their sizes were found within the bounds; else an error that names the first bound broken."""
+    sizes = {r["record"]: (r["n_rows"], r["n_bytes"]) for r in snapshot_sizes(g, refs).collect()}
+    for record, most in (("nodes", most_nodes), ("edges", most_edges), ("refs", most_refs)):
+        if sizes[record][0] > most:
+            raise ValueError(f"{sizes[record][0]} {record}; the bound is {most}")
+    total = sum(b for _, b in sizes.values())
+    if total > most_bytes:
+        raise ValueError(f"{total} bytes; the bound is {most_bytes}")
+    return g, refs

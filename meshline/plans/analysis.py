@@ -145,7 +145,9 @@ def _terms_sql() -> str:
     return ", qt(query, n_terms, term) AS (VALUES " + ", ".join(f"('{q}', {n}, '{t}')" for q, n, t in rows) + ")"
 
 
+_DIGEST = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS UBIGINT)) AS VARCHAR)" for k in range(4))
 ORACLES = {
+    "a31_signatures": WITH + _PART + f" SELECT community, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_DIGEST})) AS signature FROM (SELECT community, sha256(id) AS h FROM part) GROUP BY 1",
     "t2_postings": WITH + _POST + " SELECT token, count(*) AS n_nodes FROM post GROUP BY 1",
     "t5_scores": WITH + _POST + _terms_sql() + r", hit AS (SELECT DISTINCT q.query, q.n_terms, q.term, p.id FROM qt q JOIN post p ON starts_with(p.token, q.term)), w AS (SELECT h.query, h.n_terms, h.id, CASE WHEN l = h.term OR lower(n.id) = h.term THEN 12.0 WHEN list_contains(regexp_split_to_array(l, '[^a-z0-9]+'), h.term) THEN 8.0 WHEN starts_with(l, h.term) THEN 6.0 WHEN contains(l, h.term) THEN 3.0 WHEN contains(lower(coalesce(n.qualified_name, '')), h.term) THEN 2.0 ELSE 1.0 END AS w, contains(lower(n.label), h.term)::INT AS c FROM hit h JOIN (SELECT *, regexp_replace(lower(label), '(\(\))+$', '') AS l FROM gn) n USING (id)) SELECT query, id, round(CAST(sum(w) AS DOUBLE) * (1 + (sum(c) / n_terms) * (sum(c) / n_terms)), 6) AS score FROM w GROUP BY query, id, n_terms",
     "t7_exact": WITH + ", q(query) AS (VALUES ('external:corelog'), ('emit'), ('corelog'), ('module'), ('nothing at all')), a AS (SELECT query, 0 AS tier, id FROM q JOIN gn ON id = query), b AS (SELECT DISTINCT query, 1 AS tier, id FROM q JOIN gn ON label = query OR qualified_name = query OR file = query WHERE query NOT IN (SELECT query FROM a)) SELECT query, tier, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY id) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn <= 21",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def positions(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(``column``, ``name``): the rank from 0 of each row of a one-column table of distinct values.
+
+    Rows are sorted by ranges; a row's place is its place in its range and the
+    sizes of the ranges before, of which there is one number a partition.
+    """
+    ordered = cut(df.select(column).repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_n").alias("_first"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ordered.join(F.broadcast(before), "_part").select(column, (F.col("_n") - F.col("_first") + F.col("_before")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshline.functions import text as tx
 from meshline.operators.graph import Graph
+from meshline.session import positions
+from meshline.streaming.refresh import Generations
 
 CALL_FLOW = ("calls", "calls_method", "uses", "imports", "imports_from", "re_exports")
 
@@ -35,20 +36,33 @@ def cypher_rows(g: Graph) -> DataFrame:
     return n.unionByName(e)
 
 
+def _xml(c: str):
+    """Escaped text; characters that XML cannot hold are an error."""
+    text = F.coalesce(F.col(c), F.lit(""))
+    bad = text.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ufffe\uffff]")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return F.when(bad, F.raise_error(F.lit("a control character that XML cannot hold")).cast("string")).otherwise(text)
+
+
 def graphml_rows(g: Graph) -> DataFrame:
     """(record, xml); a control character that XML cannot hold fails the row."""
-    esc = F.udf(lambda s: tx.xml_escape(s or ""), "string")
-    n = g.nodes.select(F.lit("node").alias("record"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"><data key="label">'), esc("label"), F.lit("</data></node>")).alias("xml"))
-    e = g.edges.select(F.lit("edge").alias("record"), F.concat(F.lit('<edge id="'), esc("id"), F.lit('" source="'), esc("source"), F.lit('" target="'), esc("target"), F.lit('" directed="'), F.col("directed").cast("string"), F.lit('"><data key="relation">'), esc("relation"), F.lit("</data></edge>")).alias("xml"))
+    n = g.nodes.select(F.lit("node").alias("record"), F.concat(F.lit('<node id="'), _xml("id"), F.lit('"><data key="label">'), _xml("label"), F.lit("</data></node>")).alias("xml"))
+    e = g.edges.select(F.lit("edge").alias("record"), F.concat(F.lit('<edge id="'), _xml("id"), F.lit('" source="'), _xml("source"), F.lit('" target="'), _xml("target"), F.lit('" directed="'), F.col("directed").cast("string"), F.lit('"><data key="relation">'), _xml("relation"), F.lit("</data></edge>")).alias("xml"))
     return n.unionByName(e)
 
 
+def _entities(c: str):
+    """Text with every character that is no ASCII letter or digit as a numbered entity."""
+    chars = F.split(F.coalesce(F.col(c), F.lit("")), "")
+    return F.array_join(F.transform(chars, lambda x: F.when(x.rlike("^[A-Za-z0-9]?$"), x).otherwise(F.concat(F.lit("#"), F.ascii(x).cast("string"), F.lit(";")))), "")
+
+
 def mermaid_rows(g: Graph) -> DataFrame:
     """(line) of a flow chart; every character that is no letter or digit is an entity."""
-    esc = F.udf(lambda s: tx.mermaid_escape(s or ""), "string")
     name = lambda c: F.concat(F.lit("n"), F.substring(F.sha2(c, 256), 1, 16))
-    n = g.nodes.select(F.concat(F.lit("  "), name(F.col("id")), F.lit('["'), esc("label"), F.lit('"]')).alias("line"))
-    e = g.edges.select(F.concat(F.lit("  "), name(F.col("source")), F.when(F.col("directed"), F.lit(" -->|")).otherwise(F.lit(" ---|")), esc("relation"), F.lit("| "), name(F.col("target"))).alias("line"))
+    n = g.nodes.select(F.concat(F.lit("  "), name(F.col("id")), F.lit('["'), _entities("label"), F.lit('"]')).alias("line"))
+    e = g.edges.select(F.concat(F.lit("  "), name(F.col("source")), F.when(F.col("directed"), F.lit(" -->|")).otherwise(F.lit(" ---|")), _entities("relation"), F.lit("| "), name(F.col("target"))).alias("line"))
     return n.unionByName(e)
 
 
@@ -56,7 +70,7 @@ def layout(g: Graph) -> DataFrame:
     """(id, x, y) on a circle in id order; its radius grows with the number of nodes."""
     n = g.nodes.count()
     radius = max(22 * n, 640) / 2 - 100
-    spots = g.nodes.select("id").orderBy("id").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["id", "k"])
+    spots = positions(g.nodes, "id", "k")
     angle = F.col("k") * F.lit(2 * math.pi / max(1, n))
     return spots.select("id", (F.lit(radius) * F.cos(angle)).alias("x"), (F.lit(radius) * F.sin(angle)).alias("y"))
 
@@ -86,17 +100,29 @@ def call_flow(g: Graph) -> DataFrame:
 
 
 def guarded_write(g: Graph, path: str, allow_shrink: bool = False) -> dict[str, int]:
-    """Write nodes and edges as Parquet; refuses to replace a larger graph unless told to, and reports the counts."""
-    spark = g.nodes.sparkSession
-    out = {}
-    for name, df in (("nodes", g.nodes), ("edges", g.edges)):
-        out[name] = df.count()
-        try:
-            before = spark.read.parquet(f"{path}/{name}").count()
-        except Exception:  # nothing there yet
-            before = 0
-        if before > out[name] and not allow_shrink:
-            raise ValueError(f"{name} would shrink from {before} to {out[name]}")
-    for name, df in (("nodes", g.nodes), ("edges", g.edges)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Write nodes and edges as the next generation below ``path`` and report the counts; a graph does not shrink unless told to.
+
+    Both tables go to one new folder, and one pointer makes both current, so a
+    reader never sees the nodes of one graph with the edges of another; earlier
+    generations stay as backups. Only a root without any generation counts as
+    empty; whatever else fails is raised.
+    """
+    store = Generations(g.nodes.sparkSession, path)
+    base = store.state()["generation"]
+    out = {"nodes": g.nodes.count(), "edges": g.edges.count()}
+    before = read_written(g.nodes.sparkSession, path) if base else None
+    for name, df in (("nodes", before.nodes), ("edges", before.edges)) if before else ():
+        was = df.count()
+        if was > out[name] and not allow_shrink:
+            raise ValueError(f"{name} would shrink from {was} to {out[name]}")
+    both = [df.select(F.lit(name).alias("_table"), F.struct(*df.columns).alias(name)) for name, df in (("nodes", g.nodes), ("edges", g.edges))]
+    store.publish(both[0].unionByName(both[1], allowMissingColumns=True), base)
     return out
+
+
+def read_written(spark: SparkSession, path: str, generation: int | None = None) -> Graph:
+    """The current, or an earlier, generation that ``guarded_write`` made."""
+    rows = Generations(spark, path).read(generation)
+    if rows is None:
+        raise FileNotFoundError(f"no generation below {path}")
+    return Graph(rows.where("_table = 'nodes'").select("nodes.*"), rows.where("_table = 'edges'").select("edges.*"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from meshline.session import checkpoint_dir
@@ -13,11 +13,13 @@ from meshline.tables import current_rows
 
 
 class Generations:
-    """Versioned directories ``gen=N`` under one root and a pointer that is swapped by rename.
+    """Versioned directories under one root, each made current by a pointer file ``_pointers/N`` that is created once and never changed.
 
-    A reader pins the generation it opened. ``publish`` refuses if the pointer
-    has moved since the writer's baseline, and writes nothing if the batch was
-    already applied, so a replayed micro-batch is harmless.
+    A reader pins the highest pointer. ``publish`` writes its rows to a folder of
+    its own name and then creates the next pointer; creation fails if the pointer
+    exists, so of two writers with one baseline exactly one wins, and a crash
+    before it leaves the earlier generation current. Nothing is written if the
+    batch was already applied, so a replayed micro-batch is harmless.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -25,33 +27,39 @@ class Generations:
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self.path(root))
+        self.fs.mkdirs(self.path(f"{root}/_pointers"))
 
     def state(self) -> dict:
-        p = self.path(f"{self.root}/CURRENT")
-        if not self.fs.exists(p):
-            return {"generation": 0, "batch": -1}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        known = [x.getPath().getName() for x in self.fs.listStatus(self.path(f"{self.root}/_pointers"))]
+        last = max((int(n) for n in known if n.isdigit()), default=0)
+        if not last:
+            return {"generation": 0, "batch": -1, "folder": None}
+        return json.loads(self.spark.read.text(f"{self.root}/_pointers/{last}").first()[0])
 
     def read(self, generation: int | None = None) -> DataFrame | None:
-        g = self.state()["generation"] if generation is None else generation
-        return self.spark.read.parquet(f"{self.root}/gen={g}") if g else None
+        now = self.state()
+        if generation is not None and generation != now["generation"]:
+            now = json.loads(self.spark.read.text(f"{self.root}/_pointers/{generation}").first()[0]) if generation else {"folder": None}
+        return self.spark.read.parquet(f"{self.root}/{now['folder']}") if now["folder"] else None
 
     def publish(self, df: DataFrame, baseline: int, batch: int = -1) -> int:
         now = self.state()
         if batch >= 0 and now["batch"] >= batch:
             return now["generation"]
+        stale = f"stale baseline {baseline}: the current generation is "
         if now["generation"] != baseline:
-            raise RuntimeError(f"stale baseline {baseline}: the current generation is {now['generation']}")
+            raise RuntimeError(stale + str(now["generation"]))
         g = baseline + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/gen={g}")
-        tmp = self.path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
-        out = self.fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"generation": g, "batch": batch}).encode()))
+        folder = f"gen={g}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        text = json.dumps({"generation": g, "batch": batch, "folder": folder}).encode()
+        try:
+            out = self.fs.create(self.path(f"{self.root}/_pointers/{g}"), False)
+        except Py4JJavaError as e:
+            self.fs.delete(self.path(f"{self.root}/{folder}"), True)
+            raise RuntimeError(stale + str(self.state()["generation"])) from e
+        out.write(bytearray(text))
         out.close()
-        self.fs.delete(self.path(f"{self.root}/CURRENT"), False)
-        if not self.fs.rename(tmp, self.path(f"{self.root}/CURRENT")):
-            raise RuntimeError("the pointer could not be swapped")
         return g
 
 
@@ -72,7 +80,8 @@ def stream_table(spark: SparkSession, d: str, name: str, files_per_batch: int =
     """A file stream over one of the driver's tables, whether it is one file or a folder of parts."""
     path = f"{d}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-    if os.path.isdir(path.removeprefix("file://")):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 

@@ -11,7 +11,7 @@ from meshline.functions import text as tx
 from meshline.operators import community, compose, feedback, insights, metrics, resolve, search, traverse
 from meshline.operators.graph import Graph
 from meshline.plans import exchange
-from meshline.sources import extract, node_link, scan
+from meshline.sources import export, extract, node_link, scan
 from meshline.streaming.refresh import Generations, refresh, stream_table
 
 NODES = "id string, label string, kind string, file string, line int, end_line int, qualified_name string, binding_key string, metadata string, repo string"
@@ -78,12 +78,6 @@ def test_kernel_solves_components_of_any_size(spark, monkeypatch, algorithm):
         assert got == {i: min(j for j in want if want[j] == c) for i, c in want.items()}
 
 
-def test_parallel_louvain_keeps_cliques_whole(spark):
-    sym = metrics.symmetric(cliques(spark))
-    part = {r["id"]: r["community"] for r in community.parallel_louvain(sym, sym.agg(F.sum("weight")).first()[0], rounds=3, levels=1).collect()}
-    assert set(part) == {f"n{i:02d}" for i in range(10)}
-
-
 def test_strongly_connected(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(32)]
@@ -289,6 +283,60 @@ def test_generations_and_stream(spark, tmp_path):
     with pytest.raises(RuntimeError, match="stale"):
         target.publish(target.read(), now - 1)
     assert target.publish(target.read(), now, batch=0) == now  # a replayed batch changes nothing
+    assert {(r["id"], r["v"]) for r in target.read(1).collect()} <= {("a", "old"), ("a", "new"), ("b", "keep")}
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    """The second writer passed the check of the baseline before the first one's pointer was there."""
+    one = Generations(spark, str(tmp_path / "g"))
+    two = Generations(spark, str(tmp_path / "g"))
+    before = two.state()
+    assert one.read() is None and one.publish(spark.range(3).toDF("id"), 0) == 1
+    real = Generations.state
+    monkeypatch.setattr(two, "state", lambda: before)
+    with pytest.raises(RuntimeError, match="stale"):
+        two.publish(spark.range(9).toDF("id"), 0)
+    monkeypatch.setattr(two, "state", lambda: real(two))
+    assert two.read().count() == 3 and len([x for x in (tmp_path / "g").iterdir() if x.name.startswith("gen=")]) == 1
+
+
+def test_guarded_write_keeps_both_tables_together(spark, tmp_path):
+    g = graph(spark, 3, [call(0, 1), call(1, 2)])
+    assert export.guarded_write(g, str(tmp_path / "x")) == {"nodes": 3, "edges": 2}
+    small = graph(spark, 2, [call(0, 1)])
+    with pytest.raises(ValueError, match="shrink"):
+        export.guarded_write(small, str(tmp_path / "x"))
+    got = export.read_written(spark, str(tmp_path / "x"))
+    assert got.nodes.columns == g.nodes.columns and got.edges.columns == g.edges.columns and sorted(got.edges.collect()) == sorted(g.edges.collect())
+    export.guarded_write(small, str(tmp_path / "x"), allow_shrink=True)
+    assert export.read_written(spark, str(tmp_path / "x")).nodes.count() == 2 and export.read_written(spark, str(tmp_path / "x"), 1).nodes.count() == 3
+    with pytest.raises(FileNotFoundError):
+        export.read_written(spark, str(tmp_path / "none"))
+
+
+def test_escapes(spark):
+    text = 'a<b & "c" é🚀'
+    g = graph(spark, 1, [], {0: text})
+    assert tx.xml_escape(text) in export.graphml_rows(g).first()["xml"] and tx.mermaid_escape(text) in export.mermaid_rows(g).first()["line"]
+    with pytest.raises(Exception, match="control character"):
+        export.graphml_rows(graph(spark, 1, [], {0: "a\x01"})).collect()
+
+
+def test_positions(spark):
+    from meshline.session import positions
+
+    ids = [f"k{random.Random(i).randrange(10**9)}" for i in range(300)]
+    got = {r["id"]: r["k"] for r in positions(spark.createDataFrame([(i,) for i in ids], "id string").repartition(5), "id", "k").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids))}
+    assert positions(spark.createDataFrame([], "id string"), "id", "k").count() == 0
+
+
+def test_hubs_are_placed_in_the_order_of_ids(spark):
+    """h0 follows its own neighbours; h1 has one plain neighbour and two placed hubs, so it follows them."""
+    edges = [call(a, b) for a, b in [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]]
+    g = graph(spark, 9, edges + [call(6, x) for x in (0, 1, 2, 7)] + [call(7, x) for x in (3, 8, 6)] + [call(8, x) for x in (0, 1, 7, 2)])
+    part = {r["id"]: r["community"] for r in community.exclude_hubs(g, community.cut(metrics.symmetric(g)), 66.0).collect()}
+    assert part["n06"] == part["n08"] == "n00" and len(part) == 9
 
 
 def test_compose_and_feedback(spark):
