@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshline.llm import lexers
@@ -25,6 +26,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 BLOCK = 256
 LONG_LINE = 200
+CHANCE = 1e-6
 # Folders of third-party copies and of build or tool output, compared without case.
 VENDOR_DIRS = {"vendor", "_vendor", "vendored", "node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "extern", "external", "site-packages", "pods", "carthage", "deps"}
 OUTPUT_DIRS = {"gen", "generated", "__generated__", "autogen", "dist"}
@@ -255,6 +257,13 @@ def family_links(sets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_spanning_rows, "a string, b string").distinct()
 
 
+def _beyond_chance(marked: Column, n: Column, rate: float) -> Column:
+    """Whether more than half of ``n`` are marked, and so many by chance at the corpus's ``rate`` less often than CHANCE (Chernoff's bound)."""
+    x, p = marked / n, min(max(rate, 1e-12), 1 - 1e-12)
+    apart = x * F.log(x / F.lit(p)) + F.when(x < 1, (1 - x) * F.log((1 - x) / F.lit(1 - p))).otherwise(0.0)
+    return F.coalesce((2 * marked > n) & (x > p) & (n * apart > -math.log(CHANCE)), F.lit(False))
+
+
 def judged(files: DataFrame) -> DataFrame:
     """(path, repo, lang, family, family_files, family_repos, kinds): every current file with its family and why it is not hand-written.
 
@@ -264,8 +273,8 @@ def judged(files: DataFrame) -> DataFrame:
     dense lines, literal bulk) stand for the file and for every member of its
     family with the same token stream, in the repository for generation and
     minifying and across repositories for vendoring. Where more than half of the
-    distinct token streams of a family are so marked, the mark stands for its
-    near members too: within one repository for generation and minifying, in
+    distinct token streams of a family are so marked, and more than chance would
+    mark at the corpus's rate, the mark stands for its near members too: within one repository for generation and minifying, in
     the whole of a family that spans repositories for vendoring. Other families
     are hand-written but for their marked streams, however alike, since
     hand-written files share templates. Files without text are judged by path.
@@ -282,7 +291,8 @@ def judged(files: DataFrame) -> DataFrame:
     has = lambda k: F.array_contains("marks", k)
     copies = placed.groupBy("family", "code_id").agg(F.max(has("vendored")).alias("vendored"), F.max(has("blob")).alias("blob"))
     local = placed.groupBy("family", "code_id", "repo").agg(F.max(has("generated")).alias("generated"), F.max(has("minified")).alias("minified"))
-    most = lambda k: (2 * F.count_if(k) > F.count("*")).alias(f"near_{k}")
+    rate = {k: (df.agg(F.avg(F.col(k).cast("int"))).first()[0] or 0.0) for df, k in ((copies, "vendored"), (local, "generated"), (local, "minified"))}
+    most = lambda k: _beyond_chance(F.count_if(k), F.count("*"), rate[k]).alias(f"near_{k}")
     across = copies.groupBy("family").agg(most("vendored")).join(family, "family").withColumn("near_vendored", F.col("near_vendored") & (F.col("family_repos") > 1))
     local = local.join(local.groupBy("family", F.col("repo").alias("near")).agg(most("generated"), most("minified")), "family").where(F.col("repo").eqNullSafe(F.col("near"))).drop("near")
     known = placed.alias("p").join(copies, ["family", "code_id"]).join(across, "family")

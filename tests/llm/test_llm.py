@@ -10,6 +10,7 @@ import textwrap
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshline.llm import leakage, lookalike, source_kind, syntax, tokenizer
 from meshline.llm.lookalike import one_form
@@ -333,8 +334,9 @@ def test_source_kinds(spark):
     assert source_kind.not_hand_written(files.limit(0)).count() == 0
 
 
-def test_family_evidence_reaches_near_members(spark):
+def test_family_evidence_reaches_near_members(spark, monkeypatch):
     """Where most token streams of a family are marked, members whose tokens differ follow; a lone mark among look-alikes does not spread."""
+    monkeypatch.setattr(source_kind, "CHANCE", 0.9)
     other = "def add(a, b):\n    total = 0\n    while a < b:\n        total += a\n        a += 1\n    return [total, a, b]\n"
     lone = "class A:\n    def get(self):\n        return {self.x: 1, self.y: 2}\n\n    def put(self, v):\n        self.x, self.y = v, v\n"
     rows = [(f"r/g{i}.py", "r", "# Code generated by tool; DO NOT EDIT.\n" + HAND.replace("walk", f"g{i}")) for i in range(3)] + [("r/bare.py", "r", HAND.replace("walk", "bare")), ("q/bare.py", "q", HAND.replace("walk", "hand"))]
@@ -346,6 +348,13 @@ def test_family_evidence_reaches_near_members(spark):
     assert got["q/bare.py"] == got["r/hand.py"] == set() and got["r/lone.py"] == {"generated"}
 
 
+def test_marks_spread_beyond_chance_only(spark):
+    """Two marked of three by chance do not spread, ten of eleven do."""
+    n = spark.createDataFrame([(2, 3), (10, 11), (5, 5), (6, 12), (0, 4)], "marked long, n long")
+    got = [r[0] for r in n.select(source_kind._beyond_chance(F.col("marked"), F.col("n"), 0.05)).collect()]
+    assert got == [False, True, True, False, False]
+
+
 def test_family_links_join_all_similar_sets(spark, monkeypatch):
     monkeypatch.setattr(source_kind, "BLOCK", 4)
     rng = random.Random(6)
