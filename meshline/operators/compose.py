@@ -79,6 +79,8 @@ def link_references(refs: DataFrame, keys: DataFrame, owner: DataFrame) -> DataF
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (n, fingerprint) that does not depend on the order of the rows."""
-    h = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*"), F.coalesce(F.sum(h), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(*columns, F.lit(1))), F.lit(0))), 256).alias("fingerprint"))
+    """One row (n, fingerprint) that does not depend on the order of the rows: their number and sums of pieces of their digests."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns])
+    h = df.select(F.sha2(text, 256).alias("h")).select(*[F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)").alias(f"d{k}") for k in range(4)])
+    sums = h.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"d{k}"), F.lit(0)).alias(f"d{k}") for k in range(4)])
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", *[f"d{k}" for k in range(4)]), 256).alias("fingerprint"))

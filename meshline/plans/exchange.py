@@ -196,6 +196,7 @@ _NS = "'project:' || to_json([{p}, {c}])"
 _SIDES = ", nn AS (SELECT *, CASE WHEN repo < 'e' THEN 'first' ELSE 'second' END AS project FROM gn)"
 _EV = ", ev AS (SELECT doc_id, epoch(created_at)::BIGINT AS ts, CASE doc_id % 3 WHEN 0 THEN 'useful' WHEN 1 THEN 'dead_end' END AS outcome, path AS node_id FROM documents WHERE source IN ('memory', 'issue') AND path IS NOT NULL)"
 _PACKAGES = ", cl AS (SELECT 'package:folder:' || regexp_replace(label, '_[0-9a-z]+$', '') AS key, id, coalesce(repo, '') AS project FROM gn WHERE kind = 'package' AND NOT regexp_matches(label, '\\s') AND regexp_replace(label, '_[0-9a-z]+$', '') <> '')"
+_DIGEST = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS UBIGINT)) AS VARCHAR)" for k in range(4))
 _XML = "replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
 _ENT = "array_to_string(list_transform(string_split(coalesce({0}, ''), ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9]?') THEN c ELSE '#' || ord(c) || ';' END), '')"
 ORACLES = {
@@ -205,6 +206,8 @@ ORACLES = {
     "c2_package_classes": WITH + _PACKAGES + " SELECT x.key, x.id, x.project, count(*) AS n_links FROM cl x JOIN cl y ON x.key = y.key AND x.project <> y.project GROUP BY 1, 2, 3",
     "c3_link_references": WITH + _BIND + " SELECT b.ref_id, b.target, b.key FROM bound b JOIN gr g ON g.id = b.ref_id JOIN gn n ON n.id = b.target WHERE g.resolved_target IS NULL AND n.repo IS NOT NULL AND g.repo IS DISTINCT FROM n.repo",
     "k1_snapshot_json": WITH + " SELECT 'node' AS record, id, to_json({binding_key: binding_key, end_line: end_line, file: file, id: id, kind: kind, label: label, line: line, metadata: metadata, qualified_name: qualified_name, repo: repo}) AS json FROM gn UNION ALL SELECT 'edge', id, to_json({confidence: confidence, directed: directed, file: file, id: id, line: line, metadata: metadata, ref_id: ref_id, relation: relation, source: source, target: target}) FROM ge",
+    "k2_node_link": WITH + " SELECT 'node' AS record, to_json({id: id, label: label, file_type: kind, source_file: file, original: {binding_key: binding_key, end_line: end_line, file: file, id: id, kind: kind, label: label, line: line, metadata: metadata, qualified_name: qualified_name, repo: repo}}) AS json FROM gn UNION ALL SELECT 'link', to_json({source: source, target: target, key: id, relation: relation, confidence: confidence, directed: directed, _src: source, _tgt: target, original: {confidence: confidence, directed: directed, file: file, id: id, line: line, metadata: metadata, ref_id: ref_id, relation: relation, source: source, target: target}}) FROM ge",
+    "c5_fingerprint": WITH + f", h AS (SELECT sha256(concat_ws(chr(31), {', '.join(f'coalesce({c}, chr(1))' for c in ('id', 'source', 'target', 'relation'))})) AS h FROM ge) SELECT count(*) AS n, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_DIGEST})) AS fingerprint FROM h",
     "k3_graphml": WITH + f" SELECT 'node' AS record, '<node id=\"' || {_XML.format('id')} || '\"><data key=\"label\">' || {_XML.format('label')} || '</data></node>' AS xml FROM gn UNION ALL SELECT 'edge', '<edge id=\"' || {_XML.format('id')} || '\" source=\"' || {_XML.format('source')} || '\" target=\"' || {_XML.format('target')} || '\" directed=\"' || CAST(directed AS VARCHAR) || '\"><data key=\"relation\">' || {_XML.format('relation')} || '</data></edge>' FROM ge",
     "k5_mermaid": WITH + f" SELECT '  n' || substr(sha256(id), 1, 16) || '[\"' || {_ENT.format('label')} || '\"]' AS line FROM gn UNION ALL SELECT '  n' || substr(sha256(source), 1, 16) || CASE WHEN directed THEN ' -->|' ELSE ' ---|' END || {_ENT.format('relation')} || '| n' || substr(sha256(target), 1, 16) FROM ge",
     "m3_decay": WITH + _EV + f" SELECT node_id, round(round(coalesce(sum(CASE WHEN outcome = 'useful' THEN w WHEN outcome IS NOT NULL THEN -w END) FILTER (WHERE ts <= {NOW}), 0), 9), 6) AS score, count(*) FILTER (WHERE outcome = 'useful' AND ts <= {NOW}) AS useful, count(*) FILTER (WHERE outcome <> 'useful' AND ts <= {NOW}) AS negative, count(*) FILTER (WHERE ts > {NOW}) AS future FROM (SELECT *, pow(2.0, -(({NOW} - ts) / 86400.0) / 30.0) AS w FROM ev) GROUP BY 1",

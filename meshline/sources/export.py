@@ -22,9 +22,11 @@ def snapshot_rows(g: Graph) -> DataFrame:
 
 
 def node_link_rows(g: Graph) -> DataFrame:
-    """(record, json) in the node-link layout, edges with their own direction and ``_src``/``_tgt``."""
-    n = g.nodes.select(F.lit("node").alias("record"), F.to_json(F.struct("id", "label", F.col("kind").alias("file_type"), F.col("file").alias("source_file"))).alias("json"))
-    e = g.edges.select(F.lit("link").alias("record"), F.to_json(F.struct("source", "target", F.col("id").alias("key"), "relation", "confidence", "directed", F.col("source").alias("_src"), F.col("target").alias("_tgt"))).alias("json"))
+    """(record, json) in the node-link layout, edges with their own direction and ``_src``/``_tgt``; ``original`` holds the whole record."""
+    full = {"ignoreNullFields": "false"}
+    whole = lambda df: F.struct(*sorted(df.columns)).alias("original")
+    n = g.nodes.select(F.lit("node").alias("record"), F.to_json(F.struct("id", "label", F.col("kind").alias("file_type"), F.col("file").alias("source_file"), whole(g.nodes)), full).alias("json"))
+    e = g.edges.select(F.lit("link").alias("record"), F.to_json(F.struct("source", "target", F.col("id").alias("key"), "relation", "confidence", "directed", F.col("source").alias("_src"), F.col("target").alias("_tgt"), whole(g.edges)), full).alias("json"))
     return n.unionByName(e)
 
 

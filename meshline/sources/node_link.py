@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshline.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph
@@ -160,3 +161,17 @@ def validate(g: Graph) -> None:
     ends = g.edges.select(F.explode(F.array("source", "target")).alias("id")).join(g.nodes.select("id"), "id", "left_anti").limit(3).collect()
     if ends:
         raise ValueError(f"edges without a node at one end: {[r['id'] for r in ends]}")
+
+
+def restored(rows: DataFrame, checked: tuple[str, ...]) -> DataFrame:
+    """Rows read from a node-link document, each replaced by the whole record it carries in ``metadata.original``.
+
+    A carried record must agree with the row in the ``checked`` columns, else it
+    is an error; rows without one stay as they were read.
+    """
+    held = F.from_json(F.get_json_object("metadata", "$.original"), rows.schema)
+    x = rows.withColumn("_held", held)
+    differ = reduce(Column.__or__, [~F.col(f"_held.{c}").eqNullSafe(F.col(c)) for c in checked])
+    bad = F.col("_held").isNotNull() & differ
+    picked = F.when(bad, F.raise_error(F.concat(F.lit("a carried record contradicts its row: "), F.coalesce(F.col("id"), F.lit("null")))).cast(rows.schema)).when(F.col("_held").isNotNull(), F.col("_held")).otherwise(F.struct(*rows.columns))
+    return x.select(picked.alias("_row")).select("_row.*")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshline.functions import text as tx
-from meshline.operators import community, compose, feedback, insights, metrics, resolve, search, traverse
+from meshline.operators import community, compose, feedback, insights, lookup, memory, metrics, resolve, search, traverse
 from meshline.operators.graph import Graph
 from meshline.plans import exchange
 from meshline.sources import export, extract, node_link, scan
@@ -432,3 +432,62 @@ def test_facts_of_all_kinds_of_files(spark, tmp_path):
     spark.createDataFrame([(p, c, 1) for p, c in rows], "path string, content string, generation bigint").write.parquet(str(tmp_path / "files.parquet"))
     got = {(r["path"], r["fact"], r["name"]) for r in exchange.x11_python_facts(spark, str(tmp_path)).collect()}
     assert got == {("a/tool", "function", "f"), ("a/b.pyi", "function", "g"), ("a/c.py", "function", "h"), ("a/q.sql", "table", "t"), ("a/package.json", "diagnostic", "TypeError"), ("a/x.html", "title", "T"), ("a/r.txt", "heading", "Head")}
+
+
+def test_node_link_restores_whole_records(spark):
+    g = graph(spark, 3, [call(0, 1, 2.0), call(1, 2, 1.0, False)], {0: 'a "quoted" é'})
+    rows = export.node_link_rows(g).collect()
+    doc = {"directed": True, "multigraph": True, "nodes": [json.loads(r["json"]) for r in rows if r["record"] == "node"], "links": [json.loads(r["json"]) for r in rows if r["record"] == "link"]}
+    nodes, edges = node_link.parse_node_link(json.dumps(doc))
+    n = node_link.restored(spark.createDataFrame(nodes, NODES), ("id", "label", "kind", "file"))
+    e = node_link.restored(spark.createDataFrame(edges, EDGES), ("source", "target", "relation", "directed"))
+    assert sorted(map(str, n.collect())) == sorted(map(str, g.nodes.collect())) and sorted(map(str, e.collect())) == sorted(map(str, g.edges.collect()))
+    doc["nodes"][0]["original"]["label"] = "other"
+    nodes, _ = node_link.parse_node_link(json.dumps(doc))
+    with pytest.raises(Exception, match="contradicts"):
+        node_link.restored(spark.createDataFrame(nodes, NODES), ("id", "label", "kind", "file")).collect()
+
+
+def test_lookups(spark):
+    g = graph(spark, 4, [call(0, 1), (0, 2, 1.0, True, "imports"), (0, 3, 1.0, True, "imports_from")], {0: "Alpha.run", 1: "beta"})
+    got = [(r["query"], r["pos"], r["id"], r["truncated"]) for r in lookup.basic_search(g.nodes, ["alp zzz", "beta", "label"], 1).collect()]
+    assert sorted(got) == [("alp zzz", 0, "n00", False), ("beta", 0, "n01", False), ("label", 0, "n02", True)]
+    with pytest.raises(ValueError):
+        lookup.basic_search(g.nodes, ["a b c d e f g h i"])
+    n = spark.createDataFrame([("1", "a.py", "function", 1, "a.py"), ("2", "f", "function", 3, "a.py"), ("3", "m", "module", None, "b.py"), ("4", "n", "file", 1, "b.py"), ("5", "x", "class", 2, "c.py")], "id string, label string, kind string, line int, file string")
+    roots = {r["file"]: (r["id"], r["n_roots"]) for r in lookup.file_roots(n, spark.createDataFrame([("a.py",), ("b.py",), ("c.py",), ("d.py",), (None,)], "file string")).collect()}
+    assert roots == {"a.py": ("1", 1), "b.py": (None, 2), "c.py": ("5", 0), "d.py": (None, 0)}
+    refs = spark.createDataFrame([("r1", "n00", None, "extends", "x")], "id string, source string, resolved_target string, relation string, label string")
+    asked = spark.createDataFrame([("n00", t) for t in ("imports", "IMPORTS", "import", "xten", "none", "call")], "id string, text string")
+    told = {r["text"]: (r["relation"], r["n"]) for r in lookup.resolve_relations(asked, lookup.incident_relations(g, refs)).collect()}
+    assert told == {"imports": ("imports", 1), "IMPORTS": ("imports", 1), "import": (None, 2), "xten": ("extends", 1), "none": ("none", 0), "call": ("calls", 1)}
+    assert lookup.neighbors_by_shorthand(g, refs, "n00", "call").nodes == ["n00", "n01"] and lookup.neighbors_by_shorthand(g, None, "n00", "none").nodes == ["n00"]
+    with pytest.raises(LookupError):
+        lookup.neighbors_by_shorthand(g, refs, "n00", "import")
+    with pytest.raises(ValueError, match="edges"):
+        metrics.bounded_snapshot(g, refs, 9, 2, 9, 10**6)
+    assert metrics.bounded_snapshot(g, refs, 9, 9, 9, 10**6)[0] is g
+
+
+def test_saved_answers(spark):
+    h = {k: k * 64 for k in "abc"}
+    node = lambda i, f, x: (i, f, x)
+    nodes, files = "node_id string, file string, node_hash string", "file string, index_hash string, disk_hash string"
+    then = spark.createDataFrame([node("n1", "f1", "x"), node("n2", "f2", "x"), node("n3", "f3", "x"), node("n4", "f4", "x")], nodes)
+    was = spark.createDataFrame([("f1", h["a"], h["a"]), ("f2", h["a"], h["a"]), ("f3", h["a"], h["b"]), ("f4", h["a"], None)], files)
+    events = spark.createDataFrame([("e1", 10, "useful", ["n1", "n1", None]), ("e2", 10, "dead_end", ["n1", "n2"]), ("e3", 10, None, ["n3", "n4", "gone"])], "event_id string, at bigint, outcome string, nodes array<string>")
+    saved = memory.save_records(events, then, was, "g")
+    now = spark.createDataFrame([("f1", h["a"], h["a"]), ("f2", h["c"], h["c"]), ("f3", h["b"], h["b"]), ("f4", h["a"], h["a"])], files)
+    status = memory.source_status(saved, then, now, "g")
+    got = {(r["event_id"], r["node_id"]): r["status"] for r in status.collect()}
+    assert got == {
+        ("e1", "n1"): "current", ("e2", "n1"): "current", ("e2", "n2"): "stale (indexed source changed)", ("e3", "n3"): "stale (source differed from indexed bytes when saved)",
+        ("e3", "n4"): "unverified (source fingerprint unavailable)", ("e3", "gone"): "stale (node missing)",
+    }
+    kinds = {r["node_id"]: (r["class"], r["positive"], r["negative"], r["verified"], r["stale"]) for r in memory.classified(status, 100, 0.0).collect()}
+    assert kinds == {"n1": ("contested", 1, 1, 1, 0), "n2": ("stale", 0, 0, 0, 1), "n3": ("stale", 0, 0, 0, 1), "n4": ("unmarked", 0, 0, 0, 0), "gone": ("stale", 0, 0, 0, 1)}
+    hits = spark.createDataFrame([(0, "n1"), (1, "n4"), (2, "n2")], "pos int, id string")
+    assert [r["id"] for r in memory.overlay(hits, memory.classified(status, 100)).collect()] == ["n1", "n2"]
+    assert [r["id"] for r in memory.overlay(hits, memory.classified(status, 100), 120).collect()] == ["n1"]
+    with pytest.raises(Exception, match="no valid event"):
+        memory.save_records(spark.createDataFrame([("e1", 1, "odd", ["n1"])], events.schema), then, was, None).collect()
