@@ -141,15 +141,20 @@ _LOW = ", low AS (SELECT community, cohesion, n_eligible FROM coh JOIN (SELECT c
 def _terms_sql() -> str:
     from meshline.functions import text as tx
 
-    rows = [(q, len(ts), t) for q in TEXTS for ts in [tx.search_terms(q)] for t in map(tx.normalize, ts)]
-    return ", qt(query, n_terms, term) AS (VALUES " + ", ".join(f"('{q}', {n}, '{t}')" for q, n, t in rows) + ")"
+    rows = [(q, len(ts), k, t) for q in TEXTS for ts in [tx.search_terms(q)] for k, t in enumerate(map(tx.normalize, ts))]
+    return ", qt(query, n_terms, ord, term) AS (VALUES " + ", ".join(f"('{q}', {n}, {k}, '{t}')" for q, n, k, t in rows) + ")"
+
+
+_WEIGHTS = r", hit AS (SELECT DISTINCT q.query, q.n_terms, q.ord, q.term, p.id FROM qt q JOIN post p ON starts_with(p.token, q.term)), w AS (SELECT h.query, h.n_terms, h.ord, h.id, lower(n.label) AS name, strlen(n.label) AS size, CASE WHEN l = h.term OR lower(n.id) = h.term THEN 12.0 WHEN list_contains(regexp_split_to_array(l, '[^a-z0-9]+'), h.term) THEN 8.0 WHEN starts_with(l, h.term) THEN 6.0 WHEN contains(l, h.term) THEN 3.0 WHEN contains(lower(coalesce(n.qualified_name, '')), h.term) THEN 2.0 ELSE 1.0 END AS w, contains(lower(n.label), h.term)::INT AS c FROM hit h JOIN (SELECT *, regexp_replace(lower(label), '(\(\))+$', '') AS l FROM gn) n USING (id))"
+_SEEDS = ", known AS (SELECT query, id, name, size, CAST(sum(w) AS DOUBLE) * (1 + (sum(c) / n_terms) * (sum(c) / n_terms)) AS score FROM w GROUP BY query, id, n_terms, name, size), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, name ORDER BY score DESC, size, id) AS k FROM known) WHERE k = 1), top AS (SELECT * FROM (SELECT query, 0 AS stage, row_number() OVER (PARTITION BY query ORDER BY score DESC, size, id) AS ord, id, name, score, max(score) OVER (PARTITION BY query) AS most FROM best) WHERE ord <= 3 AND score >= 0.2 * most), per AS (SELECT query, 1 AS stage, ord, id, name, CAST(w AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query, ord ORDER BY w DESC, id) AS k FROM w) WHERE k = 1), picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, name ORDER BY stage, ord) AS k FROM (SELECT query, stage, ord, id, name, score FROM top UNION ALL SELECT * FROM per)) WHERE k = 1), by_id AS (SELECT DISTINCT query, id FROM qt JOIN gn ON id = query), ex AS (SELECT * FROM by_id UNION SELECT query, id FROM qt JOIN gn ON label = query OR qualified_name = query OR file = query WHERE query NOT IN (SELECT query FROM by_id))"
 
 
 _DIGEST = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS UBIGINT)) AS VARCHAR)" for k in range(4))
 ORACLES = {
     "a31_signatures": WITH + _PART + f" SELECT community, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_DIGEST})) AS signature FROM (SELECT community, sha256(id) AS h FROM part) GROUP BY 1",
     "t2_postings": WITH + _POST + " SELECT token, count(*) AS n_nodes FROM post GROUP BY 1",
-    "t5_scores": WITH + _POST + _terms_sql() + r", hit AS (SELECT DISTINCT q.query, q.n_terms, q.term, p.id FROM qt q JOIN post p ON starts_with(p.token, q.term)), w AS (SELECT h.query, h.n_terms, h.id, CASE WHEN l = h.term OR lower(n.id) = h.term THEN 12.0 WHEN list_contains(regexp_split_to_array(l, '[^a-z0-9]+'), h.term) THEN 8.0 WHEN starts_with(l, h.term) THEN 6.0 WHEN contains(l, h.term) THEN 3.0 WHEN contains(lower(coalesce(n.qualified_name, '')), h.term) THEN 2.0 ELSE 1.0 END AS w, contains(lower(n.label), h.term)::INT AS c FROM hit h JOIN (SELECT *, regexp_replace(lower(label), '(\(\))+$', '') AS l FROM gn) n USING (id)) SELECT query, id, round(CAST(sum(w) AS DOUBLE) * (1 + (sum(c) / n_terms) * (sum(c) / n_terms)), 6) AS score FROM w GROUP BY query, id, n_terms",
+    "t5_scores": WITH + _POST + _terms_sql() + _WEIGHTS + " SELECT query, id, round(CAST(sum(w) AS DOUBLE) * (1 + (sum(c) / n_terms) * (sum(c) / n_terms)), 6) AS score FROM w GROUP BY query, id, n_terms",
+    "t5_seeds": WITH + _POST + _terms_sql() + _WEIGHTS + _SEEDS + " SELECT query, row_number() OVER (PARTITION BY query ORDER BY stage, ord) - 1 AS pos, id, score FROM picked WHERE query NOT IN (SELECT query FROM ex) UNION ALL SELECT query, pos - 1, id, NULL FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) AS pos FROM ex) WHERE pos <= 21",
     "t7_exact": WITH + ", q(query) AS (VALUES ('external:corelog'), ('emit'), ('corelog'), ('module'), ('nothing at all')), a AS (SELECT query, 0 AS tier, id FROM q JOIN gn ON id = query), b AS (SELECT DISTINCT query, 1 AS tier, id FROM q JOIN gn ON label = query OR qualified_name = query OR file = query WHERE query NOT IN (SELECT query FROM a)) SELECT query, tier, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY id) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn <= 21",
     "t9_endpoints": WITH + ", q(query) AS (VALUES " + ", ".join(f"('{x}')" for x in ENDPOINTS) + r"), n AS (SELECT id, lower(id) AS i, lower(label) AS l, lower(coalesce(qualified_name, '')) AS qn FROM gn), h AS (SELECT query, id, CASE WHEN regexp_replace(l, '\(\)$', '') = lower(query) OR i = lower(query) OR regexp_replace(qn, '\(\)$', '') = lower(query) THEN 0 WHEN qn LIKE '%.' || lower(query) OR qn LIKE '% ' || lower(query) THEN 1 WHEN starts_with(l, lower(query)) OR starts_with(qn, lower(query)) THEN 2 WHEN contains(l, lower(query)) OR contains(qn, lower(query)) THEN 3 END AS tier FROM q, n) SELECT query, tier, n, CASE WHEN n = 1 THEN id END AS id FROM (SELECT query, tier, count(*) AS n, min(id) AS id, row_number() OVER (PARTITION BY query ORDER BY tier) AS rn FROM h WHERE tier IS NOT NULL GROUP BY 1, 2) WHERE rn = 1",
     "a8_connected_split": f"WITH RECURSIVE {SQL}" + _PART + ", lk AS MATERIALIZED (SELECT s.a, s.b FROM sym s JOIN part p ON p.id = s.a JOIN part q ON q.id = s.b WHERE s.weight > 0 AND p.community = q.community), reach AS (SELECT id AS a, id AS b FROM part UNION SELECT r.a, l.b FROM reach r JOIN lk l ON l.a = r.b) SELECT a AS id, min(b) AS community FROM reach GROUP BY 1",
