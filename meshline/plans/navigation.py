@@ -216,6 +216,11 @@ _BOTH, _OUT, _IN = _ADJ.format(a=0, b=1, x="true", y="true"), _ADJ.format(a=0, b
 _IMPACT = ", ".join(f"'{x}'" for x in t.IMPACT_RELATIONS)
 _ALIAS = "CASE " + " ".join(f"WHEN relation IN ({', '.join(repr(w) for w in ws)}) THEN '{n}'" for n, ws in __import__("meshline.functions.text", fromlist=["x"]).CONTEXT_ALIASES.items()) + " ELSE relation END"
 _SEEDS = ", mem AS MATERIALIZED (SELECT DISTINCT source AS id, target AS child FROM ge WHERE relation IN ('contains', 'method', 'defines')), sd AS (SELECT id AS seed, id FROM gn WHERE kind = '{kind}' UNION SELECT s.seed, m.child FROM sd s JOIN mem m ON m.id = s.id)"
+# shortest paths from one target backwards, level by level, the first parent by path, stream and edge
+_PATHS = ", adj AS MATERIALIZED (SELECT target AS id, 0 AS stream, id AS edge_id, source AS other FROM ge UNION ALL SELECT source, 1, id, target FROM ge WHERE NOT directed), l0 AS (SELECT 'external:corelog:emit' AS id, 0 AS length, ['external:corelog:emit'] AS path, CAST([] AS VARCHAR[]) AS edges), r0 AS (SELECT * FROM l0)" + "".join(
+    f", l{n} AS MATERIALIZED (SELECT other AS id, {n} AS length, list_append(path, other) AS path, list_append(edges, edge_id) AS edges FROM (SELECT a.other, a.edge_id, l.path, l.edges, row_number() OVER (PARTITION BY a.other ORDER BY l.path, a.stream, a.edge_id) AS rn FROM l{n - 1} l JOIN adj a ON a.id = l.id WHERE a.other NOT IN (SELECT id FROM r{n - 1})) WHERE rn = 1), r{n} AS (SELECT * FROM r{n - 1} UNION ALL SELECT * FROM l{n})"
+    for n in range(1, 7)
+)
 ORACLES = {
     "d1_changes": WITH + _OLD + " SELECT * FROM chg",
     "d2_bind": WITH + _BIND + " SELECT * FROM bound",
@@ -237,6 +242,7 @@ ORACLES = {
     "g3_neighbors": REC + _BOTH + ", w AS (SELECT id AS seed, id, 0 AS depth FROM gn WHERE kind = 'package' UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN adj a ON a.id = w.id WHERE w.depth < 1) SELECT seed, id, min(depth) AS depth FROM w GROUP BY 1, 2",
     "g8_induced": WITH + ", x AS (SELECT id FROM gn WHERE kind IN ('class', 'method')) SELECT id, source, target FROM ge WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x)",
     "g9_unresolved": WITH + " SELECT id, source, label FROM gr WHERE resolved_target IS NULL AND source IN (SELECT id FROM gn WHERE kind = 'class')",
+    "g11_paths": WITH + _PATHS + " SELECT p.id AS source, 'external:corelog:emit' AS target, CAST(r.length AS INTEGER) AS length, list_reverse(r.path) AS path, list_reverse(r.edges) AS edges FROM gn p LEFT JOIN r6 r ON r.id = p.id WHERE p.kind = 'package'",
     "g10_path_lengths": REC + _OUT + ", w AS (SELECT id AS seed, id, 0 AS depth FROM gn WHERE kind = 'package' UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN (SELECT DISTINCT id, other FROM adj) a ON a.id = w.id WHERE w.depth < 6) SELECT p.id AS source, 'external:corelog:emit' AS target, (SELECT min(depth) FROM w WHERE w.seed = p.id AND w.id = 'external:corelog:emit') AS length FROM gn p WHERE p.kind = 'package'",
     "g12_impact_seeds": REC + _SEEDS.format(kind="module") + " SELECT seed, id FROM sd",
     "g13_impact": REC + _IN + _SEEDS.format(kind="class") + f", ra AS MATERIALIZED (SELECT DISTINCT id, other FROM adj WHERE relation IN ({_IMPACT})), w AS (SELECT seed, id, 0 AS depth FROM sd UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN ra a ON a.id = w.id WHERE w.depth < 3) SELECT seed, id, min(depth) AS depth FROM w GROUP BY 1, 2",
