@@ -9,6 +9,7 @@ from meshline.operators import metrics as m
 from meshline.operators import resolve as r
 from meshline.operators import traverse as t
 from meshline.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, SQL, current_graph
+from meshline.plans.metrics import _INC, NOISE
 from meshline.session import table
 from meshline.streaming.refresh import Generations, refresh, scratch, stream_table
 from meshline.tables import current_rows
@@ -242,6 +243,7 @@ ORACLES = {
     "g3_neighbors": REC + _BOTH + ", w AS (SELECT id AS seed, id, 0 AS depth FROM gn WHERE kind = 'package' UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN adj a ON a.id = w.id WHERE w.depth < 1) SELECT seed, id, min(depth) AS depth FROM w GROUP BY 1, 2",
     "g8_induced": WITH + ", x AS (SELECT id FROM gn WHERE kind IN ('class', 'method')) SELECT id, source, target FROM ge WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x)",
     "g9_unresolved": WITH + " SELECT id, source, label FROM gr WHERE resolved_target IS NULL AND source IN (SELECT id FROM gn WHERE kind = 'class')",
+    "g4_explore": WITH + _INC + _BOTH + f", l0 AS (SELECT d.id FROM deg d JOIN gn n USING (id) WHERE NOT {NOISE.format(p='n.')} ORDER BY degree DESC, id LIMIT 1), l1 AS (SELECT other AS id, row_number() OVER (ORDER BY k) AS pos FROM (SELECT a.other, min((a.stream, a.edge_id)) AS k FROM adj a JOIN l0 USING (id) WHERE a.other NOT IN (SELECT id FROM l0) GROUP BY 1)), l2 AS (SELECT other AS id, row_number() OVER (ORDER BY k) AS pos FROM (SELECT a.other, min((l.pos, a.stream, a.edge_id)) AS k FROM adj a JOIN l1 l USING (id) WHERE a.other NOT IN (SELECT id FROM l0 UNION ALL SELECT id FROM l1) GROUP BY 1)) SELECT CAST(row_number() OVER (ORDER BY depth, pos) - 1 AS INTEGER) AS pos, id, depth FROM (SELECT id, 0 AS pos, 0 AS depth FROM l0 UNION ALL SELECT id, pos, 1 FROM l1 UNION ALL SELECT id, pos, 2 FROM l2) ORDER BY depth, pos LIMIT 200",
     "g11_paths": WITH + _PATHS + " SELECT p.id AS source, 'external:corelog:emit' AS target, CAST(r.length AS INTEGER) AS length, list_reverse(r.path) AS path, list_reverse(r.edges) AS edges FROM gn p LEFT JOIN r6 r ON r.id = p.id WHERE p.kind = 'package'",
     "g10_path_lengths": REC + _OUT + ", w AS (SELECT id AS seed, id, 0 AS depth FROM gn WHERE kind = 'package' UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN (SELECT DISTINCT id, other FROM adj) a ON a.id = w.id WHERE w.depth < 6) SELECT p.id AS source, 'external:corelog:emit' AS target, (SELECT min(depth) FROM w WHERE w.seed = p.id AND w.id = 'external:corelog:emit') AS length FROM gn p WHERE p.kind = 'package'",
     "g12_impact_seeds": REC + _SEEDS.format(kind="module") + " SELECT seed, id FROM sd",
