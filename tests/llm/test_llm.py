@@ -292,6 +292,13 @@ def test_repair_costs_and_reasons():
     assert js.check("a = 1;\nvar = 2;\nb = 3;\n").cost == 1
 
 
+def test_bracket_costs_of_any_length():
+    assert syntax.dyck_cost([")"] * 31 + ["("] * 31) == 32
+    assert syntax.dyck_cost(["(", "]"] * 40) == 40 and syntax.dyck_cost(["("] * 100_001) == 50_001
+    assert syntax.dyck_cost(["(", "[", "("] * 30 + [")", "]", "]"] * 30) == 30
+    assert syntax.parser("javascript").check("f([)];\n").cost == 2
+
+
 def test_language_by_path():
     assert syntax.language_of("a/B.PY", "") == "python" and syntax.language_of("x", "#!/usr/bin/env python3\n") == "python"
     assert syntax.language_of("x", "#!/usr/bin/node\n") == "javascript" and syntax.language_of("x", None) is None and syntax.language_of("a.zzz", "") is None
