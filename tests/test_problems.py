@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from meshline.functions.bitmaps import Bitmap
 from meshline.operators import heavy_keys, hierarchy, orphans
 from meshline.operators.components import connected_components
+from meshline.session import cut
 
 NODES = "id string, binding_key string, generation bigint, deleted boolean, extra int"
 REFS = "id string, source string, resolved_target string, candidate_keys array<string>, generation bigint, indexed_at timestamp, field string"
@@ -145,3 +146,10 @@ def test_components(spark):
     nodes = spark.createDataFrame([(x,) for x in ["alone", "s"]], "id string")
     got = {r["id"]: r["component"] for r in connected_components(nodes, spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {f"a{i}": "a0" for i in range(31)} | {"b1": "b1", "b2": "b1", "alone": "alone", "s": "s"}
+
+
+def test_checkpoints_of_a_loop_do_not_multiply_estimates(spark):
+    df = spark.range(4).selectExpr("id", "id as v")
+    for _ in range(12):
+        df = cut(df.join(df.withColumnRenamed("v", "w"), "id").selectExpr("id", "least(v, w) as v"))
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())) < 25 and df.count() == 4
