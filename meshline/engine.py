@@ -98,7 +98,20 @@ class GraphEngine:
         return Answer([s for s in seeds if s in r.depths], [r.records["node", i] for i in r.nodes], [r.records["edge", i] for i in r.edges], r.unresolved, r.reasons, -(-r.bytes // traverse.BYTES_PER_TOKEN))
 
     def report(self, top: int = 10) -> str:
-        """Markdown on counts, hubs, communities, confidence, cycles and surprises, from collected top lists."""
+        """Markdown on counts, hubs, communities, confidence, cycles and surprises, from collected top lists.
+
+        The graph is read by ten jobs and more, so its rows are kept while they run.
+        """
+        lazy = self.graph
+        self.graph = Graph(lazy.nodes.persist(), lazy.edges.persist())
+        try:
+            return self._report(top)
+        finally:
+            self.graph.nodes.unpersist()
+            self.graph.edges.unpersist()
+            self.graph = lazy
+
+    def _report(self, top: int) -> str:
         g = self.graph
         out = ["# Graph report", "", f"{g.nodes.count()} nodes, {g.edges.count()} edges", "", "## Hubs", ""]
         out += [f"{r['rank']}. {r['id']} ({r['score']})" for r in self.hubs(top).orderBy("rank").collect()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,28 @@ def cohesion(sym: DataFrame, part: DataFrame) -> DataFrame:
     """(community, size, pairs, cohesion): distinct neighbour pairs inside over n(n-1); 0 below two members."""
     x = sym.where("weight > 0 and a <> b").join(part.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(part.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
     pairs = x.groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("pairs"))
+    return _cohesion(part, pairs)
+
+
+def _cohesion(part: DataFrame, pairs: DataFrame) -> DataFrame:
     size = part.groupBy("community").agg(F.count("*").alias("size"))
     out = size.join(pairs, "community", "left").na.fill(0, ["pairs"])
     return out.select("community", "size", "pairs", F.when(F.col("size") < 2, 0.0).otherwise(F.col("pairs") / (F.col("size") * (F.col("size") - 1))).alias("cohesion"))
 
 
 def connected_split(sym: DataFrame, part: DataFrame) -> DataFrame:
-    """(id, community): communities cut into their connected parts over positive weights, named by their smallest id."""
-    inside = sym.where("weight > 0").join(part.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(part.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
-    return connected_components(part.select("id"), inside.select("a", "b")).select("id", F.col("component").alias("community"))
+    """(id, community): communities cut into their connected parts over positive weights, named by their smallest id.
+
+    Weights need not be summed, nor be there in both orientations. The rounds
+    run over numbers in the order of the ids.
+    """
+    part = cut(part)
+    numbers = cut(part.join(positions(part.select("id").where("id is not null").distinct(), "id", "n"), "id"))
+    end = lambda k: numbers.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("community").alias(f"c{k}"))
+    inside = sym.where("weight > 0").select("a", "b").join(end("a"), "a").join(end("b"), "b").where("ca = cb")
+    parts = connected_components(numbers.select(F.col("n").alias("id")), inside.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    named = parts.join(numbers.select("id", "n").distinct().withColumnRenamed("n", "component").withColumnRenamed("id", "community"), "component")
+    return named.select(F.col("id").alias("n"), "community").join(numbers.select("id", "n").distinct(), "n").select("id", "community")
 
 
 def canonical(part: DataFrame) -> DataFrame:
@@ -203,27 +217,37 @@ def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, pas
     """
     if algorithm not in ("louvain", "leiden") or resolution <= 0 or passes < 1:
         raise ValueError("algorithm must be louvain or leiden, resolution and passes above 0")
-    sym = cut(m.symmetric(g).where("weight > 0"))
-    total = sym.agg(F.sum("weight")).first()[0] or 0.0
+    ids = g.numbers.select(F.col("n").alias("id"))
+    return g.named(_solved(ids, cut(m.halves(g).where("weight > 0")), algorithm, resolution, passes, seed), "community", "id")
+
+
+def _solved(ids: DataFrame, half: DataFrame, algorithm: str, resolution: float, passes: int, seed: int) -> DataFrame:
+    """The partition of numbered nodes (id) by positive weights (a, b, weight) of a <= b, a self-loop counted once."""
+    total = (half.agg(F.sum("weight")).first()[0] or 0.0) * 2
     if not total:
-        return g.ids.select("id", F.col("id").alias("community"))
-    parts = cut(connected_components(g.ids, sym.select("a", "b")))
-    arcs = sym.join(parts.select(F.col("id").alias("a"), "component"), "a")
+        return ids.select("id", F.col("id").alias("community"))
+    parts = connected_components(ids, half.select("a", "b"))
+    arcs = half.join(parts.select(F.col("id").alias("a"), "component"), "a")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]))
-        at = {x: k for k, x in enumerate(names)}
-        adj: dict = {k: {} for k in range(len(names))}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"], strict=True):
-            adj[at[a]][at[b]] = w
+        names, ends = np.unique(np.concatenate((pdf["a"], pdf["b"])), return_inverse=True)
+        x, y = ends[: len(pdf)], ends[len(pdf) :]
+        two = x != y
+        a, b = np.concatenate((x, y[two])), np.concatenate((y, x[two]))
+        w = np.concatenate((np.where(two, pdf["weight"], 2 * pdf["weight"]), pdf["weight"].to_numpy()[two]))
+        order = np.lexsort((b, a))  # sums over neighbours come out the same on every run
+        keys, cuts = list(range(len(names))), np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
+        b, w = b[order].tolist(), w[order].tolist()
+        adj: dict = {k: {keys[j]: v for j, v in zip(b[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]], strict=True)} for k in keys}
+        del a, b, w, order, ends, x, y, two
         got = kernel(adj, total, resolution, passes, algorithm, seed)
         first: dict = {}
         for k, c in sorted(got.items()):
             first.setdefault(c, names[k])
-        return pd.DataFrame({"id": names, "community": [first[got[k]] for k in range(len(names))]})
+        return pd.DataFrame({"id": names, "community": [first[got[k]] for k in keys]})
 
-    linked = cut(arcs.groupBy("component").applyInPandas(lambda pdf: solve(pdf), "id string, community string"))
-    return linked.unionByName(g.ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("community")))
+    linked = cut(arcs.groupBy("component").applyInPandas(lambda pdf: solve(pdf), "id long, community long"))
+    return linked.unionByName(ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("community")))
 
 
 def exclude_hubs(g: Graph, sym: DataFrame, percentile: float, algorithm: str = "louvain") -> DataFrame:
@@ -266,18 +290,21 @@ def split_again(g: Graph, part: DataFrame, most_size: int | None = None, least_c
     The inner partition uses a resolution of at least 1 and is kept where it
     has more than one part; others stay whole.
     """
-    sym = cut(m.symmetric(g))
-    told = cohesion(sym, part)
+    part = cut(part.select("id", "community"))
+    known = cut(part.join(g.numbers, "id").select("n", "community"))
+    end = lambda k: known.select(F.col("n").alias(k), F.col("community").alias(f"c{k}"))
+    inside = cut(m.halves(g).where("weight > 0").join(end("a"), "a").join(end("b"), "b").where("ca = cb").select(F.col("ca").alias("community"), "a", "b", "weight"))
+    pairs = inside.where("a <> b").groupBy("community").agg((2 * F.count("*")).alias("pairs"))
+    told = _cohesion(part, pairs)
     bad = F.lit(False)
     if most_size is not None:
         bad = bad | (F.col("size") > most_size)
     if least_cohesion is not None:
         bad = bad | ((F.col("cohesion") < least_cohesion) & (F.col("size") > 1))
     again = cut(told.where(bad).select("community"))
-    members = cut(part.join(again, "community", "left_semi"))
-    inside = g.edges.join(members.select(F.col("id").alias("source"), F.col("community").alias("cs")), "source").join(members.select(F.col("id").alias("target"), F.col("community").alias("ct")), "target").where("cs = ct").select(*g.edges.columns)
-    finer = partition(Graph(members.select("id"), inside), resolution=max(resolution, 1.0))
-    return part.join(again, "community", "left_anti").select("id", "community").unionByName(finer)
+    members = cut(known.join(again, "community", "left_semi").select(F.col("n").alias("id")))
+    finer = _solved(members, cut(inside.join(again, "community", "left_semi").select("a", "b", "weight")), "louvain", max(resolution, 1.0), 100, 42)
+    return part.join(again, "community", "left_anti").select("id", "community").unionByName(g.named(finer, "community", "id"))
 
 
 def preserved(nodes: DataFrame) -> DataFrame:

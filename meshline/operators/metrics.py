@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshline.operators.graph import Graph
+from meshline.operators.graph import Graph, edge_weight
 from meshline.session import cut
 
 # Relations that make an import cycle.
@@ -63,6 +63,16 @@ def symmetric(g: Graph) -> DataFrame:
     return g.weighted.select("weight", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("weight").alias("weight"))
 
 
+def loose_weights(g: Graph) -> DataFrame:
+    """(a, b, weight): each edge once as it is; those without both ends are for the reader's joins to drop."""
+    return (g.edges if g.loose is None else g.loose).select(F.col("source").alias("a"), F.col("target").alias("b"), edge_weight().alias("weight"))
+
+
+def halves(g: Graph) -> DataFrame:
+    """(a, b, weight): what ``symmetric`` has, by the numbers of the nodes, as one row of a <= b; a self-loop counts once."""
+    return g.numbered(loose_weights(g).withColumnsRenamed({"a": "source", "b": "target"})).groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
+
+
 def pagerank(g: Graph, damping: float = 0.85, iterations: int = 200, tolerance: float = 1e-10) -> tuple[DataFrame, int, bool]:
     """((id, rank), rounds, converged): weighted PageRank with uniform redistribution of dangling rank.
 

@@ -42,16 +42,16 @@ def t9_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a6_louvain(spark: SparkSession, d: str) -> DataFrame:
-    return c.partition(current_graph(spark, d), "louvain")
+    return c.partition(current_graph(spark, d, ("id",), ("metadata",)), "louvain")
 
 
 def a7_leiden(spark: SparkSession, d: str) -> DataFrame:
-    return c.partition(current_graph(spark, d), "leiden")
+    return c.partition(current_graph(spark, d, ("id",), ("metadata",)), "leiden")
 
 
 def a8_connected_split(spark: SparkSession, d: str) -> DataFrame:
-    g = current_graph(spark, d)
-    return c.connected_split(m.symmetric(g), _part(g))
+    g = current_graph(spark, d, (), ("metadata",))
+    return c.connected_split(m.loose_weights(g), _part(g))
 
 
 def a9_modularity(spark: SparkSession, d: str) -> DataFrame:

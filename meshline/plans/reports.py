@@ -19,7 +19,7 @@ def a11_exclude_hubs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a12_split_again(spark: SparkSession, d: str) -> DataFrame:
-    g = current_graph(spark, d)
+    g = current_graph(spark, d, (), ("metadata",))
     return c.split_again(g, g.nodes.select("id", F.coalesce("repo", F.lit("")).alias("community")), least_cohesion=0.05)
 
 
@@ -38,7 +38,7 @@ def g7_token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k8_report(spark: SparkSession, d: str) -> DataFrame:
-    lines = GraphEngine(current_graph(spark, d)).report().split("\n")
+    lines = GraphEngine(current_graph(spark, d, ("metadata",), ("metadata",))).report().split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
