@@ -11,8 +11,9 @@ from meshline.session import cut
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches over undirected ``links`` (a, b).
 
-    A round gives each node the smallest label among its neighbours and then
-    the label of its label, so chains halve; the loop ends when no label
+    A round gives each node the smallest label among its neighbours, then the
+    smallest that any node of its old label got, so whole parts merge at once,
+    or the label of its label, so chains halve; the loop ends when no label
     changes. Labels combine on the map side, so a hub sends one row a task.
     Nodes without links are their own component; self-links and duplicates do
     nothing; null ends are dropped.
@@ -26,7 +27,9 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        nxt = cut(lower.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        hook = lower.groupBy("old").agg(F.min("component").alias("hooked"))
+        least = F.least("component", F.coalesce("further", "component"), F.coalesce("hooked", "component"))
+        nxt = cut(lower.join(jump, "component", "left").join(hook, "old").select("id", "old", least.alias("component")))
         changed = nxt.where("component <> old").limit(1).count()
         labels = nxt.select("id", "component")
         if not changed:
