@@ -491,3 +491,42 @@ def test_saved_answers(spark):
     assert [r["id"] for r in memory.overlay(hits, memory.classified(status, 100), 120).collect()] == ["n1"]
     with pytest.raises(Exception, match="no valid event"):
         memory.save_records(spark.createDataFrame([("e1", 1, "odd", ["n1"])], events.schema), then, was, None).collect()
+
+
+def levels_of(steps, first, depth):
+    """{id: depth} of a plain breadth-first search."""
+    at = dict.fromkeys(first, 0)
+    front = list(first)
+    for k in range(1, depth + 1):
+        front = sorted({y for x in front for y in steps.get(x, ())} - set(at))
+        at |= dict.fromkeys(front, k)
+    return at
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_impact_of_many_seeds(spark, monkeypatch, most):
+    monkeypatch.setattr(traverse, "MOST_NODES", most, raising=False)
+    rng = random.Random(6)
+    edges = [call(rng.randrange(70), rng.randrange(70), 1, rng.random() < 0.8) for _ in range(150)] + [(rng.randrange(70), rng.randrange(70), 1, True, "contains") for _ in range(30)]
+    edges += [(1, 2, 1, True, "contains"), (2, 1, 1, True, "method"), call(3, 3)]
+    g = graph(spark, 70, edges)
+    calls, below = {}, {}
+    for a, b, _, d, rel in edges:
+        if rel == "calls":
+            calls.setdefault(b, set()).add(a)
+            _ = d or calls.setdefault(a, set()).add(b)
+        else:
+            below.setdefault(a, set()).add(b)
+    roots = spark.createDataFrame([(f"n{k:02d}",) for k in range(70)] + [("gone",)], "id string")
+    got = {(r["seed"], r["id"]): r["depth"] for r in traverse.impact(g, roots, 3).collect()}
+    want = {(f"n{s:02d}", f"n{k:02d}"): d for s in range(70) for k, d in levels_of(calls, levels_of(below, [s], 70), 3).items()}
+    assert got == want | {("gone", "gone"): 0}
+
+
+def test_impact_keeps_no_level_of_pairs(spark, monkeypatch):
+    """Many seeds through one hub: pairs are rows of the result and of nothing else."""
+    kept, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: kept.append(x := cut(df)) or x)
+    g = graph(spark, 81, [call(0, k) for k in range(1, 41)] + [call(k, 0) for k in range(41, 81)])
+    assert traverse.impact(g, g.ids, 2).count() == 81 + 40 + 40 + 40 * 40
+    assert max(df.count() for df in kept) <= 81
