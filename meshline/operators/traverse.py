@@ -420,15 +420,18 @@ def _fits(g: Graph, h: Graph) -> bool:
 def walk(g: Graph, seeds: DataFrame, depth: int, direction: str = "outgoing", relations: tuple[str, ...] = ()) -> DataFrame:
     """(seed, id, depth): every node within ``depth`` steps of every seed, at its least distance.
 
-    Breadth-first for all seeds at once: a level joins the frontier with the
-    adjacency on the node and drops what a seed has already reached. Levels are
-    distinct per (seed, node) before they are shuffled, and a hub's adjacency is
-    read by the join in parts under adaptive execution. Levels hold numbers for
-    ids, which the result gets back at the end.
+    Breadth-first for all seeds at once, by rows of bits where the graph fits a
+    task. Above that a level joins the frontier with the adjacency on the node
+    and drops what a seed has already reached. Levels are distinct per (seed,
+    node) before they are shuffled, and a hub's adjacency is read by the join in
+    parts under adaptive execution. Levels hold numbers for ids, which the
+    result gets back at the end.
     """
     known, other = _seeds(g, seeds)
-    adj = cut(adjacency(_numbered(g, relations), direction).select("id", "other").distinct())
-    return g.named(_levels(g, known, adj, depth), "seed", "id").unionByName(other.withColumn("depth", F.lit(0)))
+    h = _numbered(g, relations)
+    adj = adjacency(h, direction).select("id", "other")
+    found = _reach(g, known, adj, depth) if _fits(g, h) else g.named(_levels(g, known, cut(adj.distinct()), depth), "seed", "id")
+    return found.unionByName(other.withColumn("depth", F.lit(0)))
 
 
 def shortest_paths(g: Graph, pairs: DataFrame, depth: int = 6, direction: str = "outgoing", relations: tuple[str, ...] = ()) -> DataFrame:

@@ -530,3 +530,13 @@ def test_impact_keeps_no_level_of_pairs(spark, monkeypatch):
     g = graph(spark, 81, [call(0, k) for k in range(1, 41)] + [call(k, 0) for k in range(41, 81)])
     assert traverse.impact(g, g.ids, 2).count() == 81 + 40 + 40 + 40 * 40
     assert max(df.count() for df in kept) <= 81
+
+
+def test_walk_keeps_no_level_of_pairs(spark, monkeypatch):
+    kept, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: kept.append(x := cut(df)) or x)
+    g = graph(spark, 81, [call(k, 0, 1, k % 2 > 0) for k in range(41, 81)] + [call(0, k) for k in range(1, 41)])
+    got = {(r["seed"], r["id"]): r["depth"] for r in traverse.walk(g, g.ids, 2).collect()}
+    out = {0: {*range(1, 41), *range(42, 81, 2)}} | {k: {0} for k in range(41, 81)}
+    assert got == {(f"n{s:02d}", f"n{k:02d}"): d for s in range(81) for k, d in levels_of(out, [s], 2).items()}
+    assert max(df.count() for df in kept) <= 81
