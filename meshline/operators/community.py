@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -166,41 +166,18 @@ def kernel(adj: dict, total: float, gamma: float = 1.0, passes: int = 100, algor
     gain more than EPSILON, ties go to the lowest community. Communities are cut
     into connected parts before each level is coarsened.
     """
+    if algorithm == "leiden":
+        names = sorted(adj)
+        at = {i: k for k, i in enumerate(names)}
+        arcs = sorted((at[i], at[j], w) for i, row in adj.items() for j, w in row.items())
+        a, b, w = (np.array([x[k] for x in arcs], t) for k, t in enumerate((np.int64, np.int64, float)))
+        return dict(zip(names, leiden(a, b, w, len(names), total, gamma, passes, seed).tolist(), strict=True))
     where = {i: i for i in adj}
     level = adj
-    rng = random.Random(seed)
     for _ in range(passes):
         comm = {i: k for k, i in enumerate(sorted(level))}
-        moved = _local_move(level, total, comm, sorted(level), gamma, passes)
-        if algorithm == "leiden" and moved:
-            c_root = sorted(level)
-            fine = {i: k for k, i in enumerate(c_root)}
-            strength = {i: sum(level[i].values()) for i in level}
-            inside = defaultdict(float)
-            for i in level:
-                inside[fine[i]] += strength[i]
-            alone = set(level)
-            order = sorted(level)
-            rng.shuffle(order)
-            for i in order:
-                if i not in alone:
-                    continue
-                near = defaultdict(float)
-                for j, w in level[i].items():
-                    if j != i and comm[j] == comm[i]:
-                        near[fine[j]] += w
-                gains = [(near[c] - gamma * strength[i] * inside[c] / total, c) for c in sorted(near) if c != fine[i]]
-                gains = [x for x in gains if x[0] > EPSILON]
-                if gains:
-                    top = max(g for g, _ in gains)
-                    c = rng.choice([c for g, c in gains if g > top - EPSILON])
-                    inside[fine[i]] -= strength[i]
-                    fine[i] = c
-                    inside[c] += strength[i]
-                    alone -= {i, c_root[c]}
-            group = _split(level, fine)
-        else:
-            group = _split(level, comm)
+        _local_move(level, total, comm, sorted(level), gamma, passes)
+        group = _split(level, comm)
         where = {i: group[c] for i, c in where.items()}
         if len(set(group.values())) == len(level):
             break
@@ -208,6 +185,141 @@ def kernel(adj: dict, total: float, gamma: float = 1.0, passes: int = 100, algor
     return where
 
 
+class _Level:
+    """One level of Leiden: arcs (a, b, w) sorted by both ends, self weights counted twice."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int):
+        self.a, self.b, self.w, self.n = a, b, w, n
+        self.strength = np.bincount(a, weights=w, minlength=n).tolist()
+        real = a != b
+        self.ends, self.weights = b[real].astype(np.int32), w[real]
+        self.cuts = np.searchsorted(a[real], np.arange(n + 1)).tolist()
+
+    def near(self, i: int) -> zip:
+        """Neighbours and weights of a node, itself left out."""
+        lo, hi = self.cuts[i], self.cuts[i + 1]
+        return zip(self.ends[lo:hi].tolist(), self.weights[lo:hi].tolist(), strict=True)
+
+    def joined(self, group: np.ndarray, n: int) -> _Level:
+        key = group[self.a] * n + group[self.b]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.arange(0)
+        w = np.add.reduceat(self.w[order], first) if len(first) else self.w
+        return _Level(key[first] // n, key[first] % n, w, n)
+
+
+def _move_queued(x: _Level, total: float, comm: list, gamma: float, most: int) -> None:
+    """Move nodes to the community of the highest gain, in id order, then again those whose neighbours moved away from them."""
+    k, tot, size = x.strength, [0.0] * x.n, [0] * x.n
+    for i, c in enumerate(comm):
+        tot[c] += k[i]
+        size[c] += 1
+    free = [c for c in range(x.n) if not size[c]]
+    queue, queued = deque(range(x.n)), bytearray(b"\1") * x.n
+    for _ in range(most * x.n):
+        if not queue:
+            return
+        i = queue.popleft()
+        queued[i] = 0
+        near: dict = {}
+        for j, w in x.near(i):
+            c = comm[j]
+            near[c] = near.get(c, 0.0) + w
+        old, share = comm[i], gamma * k[i] / total
+        tot[old] -= k[i]
+        best, score = old, near.get(old, 0.0) - share * tot[old]
+        if size[old] > 1 and free and score < -EPSILON:
+            best, score = free[-1], 0.0
+        for c, w in near.items():
+            s = w - share * tot[c]
+            if s > score + EPSILON or (s >= score - EPSILON and c < best != old):
+                best, score = c, max(s, score)
+        tot[best] += k[i]
+        if best == old:
+            continue
+        size[old] -= 1
+        size[best] += 1
+        if free and best == free[-1]:
+            free.pop()
+        if not size[old]:
+            tot[old] = 0.0
+            free.append(old)
+        comm[i] = best
+        for j, _w in x.near(i):
+            if not queued[j] and comm[j] != best:
+                queued[j] = 1
+                queue.append(j)
+
+
+def _refined(x: _Level, total: float, comm: list, gamma: float, rng: random.Random) -> list:
+    """Communities inside ``comm``: nodes that are still alone join, in random order, what gains most."""
+    k, fine, inside, alone = x.strength, list(range(x.n)), list(x.strength), bytearray(b"\1") * x.n
+    order = list(range(x.n))
+    rng.shuffle(order)
+    for i in order:
+        if not alone[i]:
+            continue
+        near: dict = {}
+        mine = comm[i]
+        for j, w in x.near(i):
+            if comm[j] == mine:
+                near[fine[j]] = near.get(fine[j], 0.0) + w
+        share = gamma * k[i] / total
+        gains = [(w - share * inside[c], c) for c, w in sorted(near.items())]
+        top = max((s for s, _ in gains), default=0.0)
+        if top > EPSILON:
+            c = rng.choice([c for s, c in gains if s >= top - EPSILON])
+            inside[i] -= k[i]
+            inside[c] += k[i]
+            fine[i] = c
+            alone[i] = alone[c] = 0
+    return fine
+
+
+def _ranked(labels: list) -> tuple[np.ndarray, int]:
+    """Labels as numbers from 0 in the order of their first members, and how many there are."""
+    rank: dict = {}
+    return np.array([rank.setdefault(c, len(rank)) for c in labels], np.int64), len(rank)
+
+
+def leiden(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, total: float, gamma: float = 1.0, passes: int = 100, seed: int = 42) -> np.ndarray:
+    """Community of each of ``n`` nodes by Leiden, over arcs sorted by both ends.
+
+    A level starts from the communities of the level before and visits again
+    only nodes whose neighbours moved; what it coarsens are the connected
+    communities of the refinement.
+    """
+    where, level, comm, rng = np.arange(n), _Level(a, b, w, n), list(range(n)), random.Random(seed)
+    for _ in range(passes):
+        _move_queued(level, total, comm, gamma, passes)
+        if len(set(comm)) == level.n:
+            break
+        group, m = _ranked(_refined(level, total, comm, gamma, rng))
+        stuck = m == level.n
+        if stuck:
+            group, m = _ranked(_connected(level, comm))
+        where = group[where]
+        if stuck:
+            break
+        wide = np.empty(m, np.int64)
+        wide[group] = _ranked(comm)[0]
+        level, comm = level.joined(group, m), wide.tolist()
+    return where
+
+
+def _connected(x: _Level, comm: list) -> list:
+    """The connected parts of communities, named by their smallest nodes."""
+    part = [-1] * x.n
+    for i in range(x.n):
+        todo = [i] if part[i] < 0 else []
+        while todo:
+            y = todo.pop()
+            part[y] = i
+            todo += [j for j, w in x.near(y) if w > 0 and part[j] < 0 and comm[j] == comm[i]]
+    return part
+
+
 def partition(g: Graph, algorithm: str = "louvain", resolution: float = 1.0, passes: int = 100, seed: int = 42) -> DataFrame:
     """(id, community): connected communities, named by their smallest member.
 
@@ -236,6 +348,9 @@ def _solved(ids: DataFrame, half: DataFrame, algorithm: str, resolution: float,
         a, b = np.concatenate((x, y[two])), np.concatenate((y, x[two]))
         w = np.concatenate((np.where(two, pdf["weight"], 2 * pdf["weight"]), pdf["weight"].to_numpy()[two]))
         order = np.lexsort((b, a))  # sums over neighbours come out the same on every run
+        if algorithm == "leiden":
+            got = leiden(a[order], b[order], w[order], len(names), total, resolution, passes, seed)
+            return pd.DataFrame({"id": names, "community": names[np.unique(got, return_index=True)[1]][np.unique(got, return_inverse=True)[1]]})
         keys, cuts = list(range(len(names))), np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
         b, w = b[order].tolist(), w[order].tolist()
         adj: dict = {k: {keys[j]: v for j, v in zip(b[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]], strict=True)} for k in keys}

@@ -540,3 +540,29 @@ def test_walk_keeps_no_level_of_pairs(spark, monkeypatch):
     out = {0: {*range(1, 41), *range(42, 81, 2)}} | {k: {0} for k in range(41, 81)}
     assert got == {(f"n{s:02d}", f"n{k:02d}"): d for s in range(81) for k, d in levels_of(out, [s], 2).items()}
     assert max(df.count() for df in kept) <= 81
+
+
+def test_leiden_visits_what_changed():
+    """Weights far above the least gain, communities in one part each, and few visits of each node."""
+    rng = random.Random(5)
+    pairs = {(a, rng.randrange(a)) for a in range(1, 400) for _ in range(4)}
+    adj = {k: {} for k in range(400)}
+    for a, b in pairs:
+        adj[a][b] = adj[b][a] = 1e6
+    seen, near = [], community._Level.near
+    community._Level.near = lambda x, i: seen.append(x.n) or near(x, i)
+    try:
+        got = community.kernel(adj, 2e6 * len(pairs), algorithm="leiden")
+    finally:
+        community._Level.near = near
+    assert seen.count(400) < 20 * 400
+    quality = lambda part: sum(adj[i].get(j, 0) / (2e6 * len(pairs)) - len(adj[i]) * len(adj[j]) / (2 * len(pairs)) ** 2 for i in adj for j in adj if part[i] == part[j])
+    assert quality(got) > quality(community.kernel(adj, 2e6 * len(pairs))) - 0.01
+    for c in set(got.values()):
+        mine = {i for i in got if got[i] == c}
+        todo = [min(mine)]
+        left = mine - set(todo)
+        while todo:
+            todo += (new := left & set(adj[todo.pop()]))
+            left -= new
+        assert not left
