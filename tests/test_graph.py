@@ -566,3 +566,11 @@ def test_leiden_visits_what_changed():
             todo += (new := left & set(adj[todo.pop()]))
             left -= new
         assert not left
+
+
+def test_report_of_heavy_weights(spark):
+    from meshline.engine import GraphEngine
+
+    edges = [call(a, b, 1e6, False) for base in (0, 4) for a in range(base, base + 4) for b in range(base, a)]
+    report = GraphEngine(graph(spark, 8, [*edges, call(3, 4, 1.0, False)])).report()
+    assert report.count(": 4 nodes") == 2
